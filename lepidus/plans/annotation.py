@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lepidus.operators import coco, measure
 from lepidus.plans import Tables, query
 from lepidus.plans.views import ANN, CAT, GRP, IMG, NUM, ORDER, annotations, categories, groups, images
 
-BLOCK = F.floor(F.col("image_id") / 512)
+
+
+def block() -> Column:
+    """Runs of image ids: never falls in ORDER."""
+    return F.floor(F.col("image_id") / 512)
+
+
 GONE = "supercategory IN ('Brand#3', 'Brand#7')"
 
 
@@ -92,7 +98,8 @@ def _(t: Tables) -> DataFrame:
     return coco.with_defaults(a).select("image_id", "num", "category_id", "iscrowd", F.round("area", 6).alias("area"))
 
 
-KEYPOINTS = F.array(*[F.col(c).cast("double") for c in ("qty", "supp", "num", "supp", "qty", "half", "num", "qty", "num")])
+def keypoints() -> Column:
+    return F.array(*[F.col(c).cast("double") for c in ("qty", "supp", "num", "supp", "qty", "half", "num", "qty", "num")])
 
 
 @query(
@@ -101,7 +108,7 @@ KEYPOINTS = F.array(*[F.col(c).cast("double") for c in ("qty", "supp", "num", "s
  SELECT image_id, num, category_id, least(qty, num, CASE WHEN half > 0 THEN supp ELSE qty END) AS x0, greatest(qty, num, CASE WHEN half > 0 THEN supp ELSE qty END) - least(qty, num, CASE WHEN half > 0 THEN supp ELSE qty END) AS w FROM k""",
 )
 def _(t: Tables) -> DataFrame:
-    a = annotations(t).withColumn("half", F.col("num") % 2).withColumn("keypoints", KEYPOINTS)
+    a = annotations(t).withColumn("half", F.col("num") % 2).withColumn("keypoints", keypoints())
     return coco.keypoint_box(a).select("image_id", "num", "category_id", F.get("bbox", F.lit(0)).alias("x0"), F.get("bbox", F.lit(2)).alias("w"))
 
 
@@ -128,7 +135,7 @@ def _(t: Tables) -> DataFrame:
  SELECT image_id, num, category_id, k, x::DOUBLE AS x, y::DOUBLE AS y FROM p WHERE v > 0 AND k IN (1, 2)""",
 )
 def _(t: Tables) -> DataFrame:
-    a = annotations(t).withColumn("half", F.col("num") % 2).withColumn("keypoints", KEYPOINTS)
+    a = annotations(t).withColumn("half", F.col("num") % 2).withColumn("keypoints", keypoints())
     p = a.select("image_id", "num", "category_id", F.explode(coco.points(F.col("keypoints"))).alias("p"))
     return p.where("p.v > 0 and p.k in (1, 2)").select("image_id", "num", "category_id", "p.k", "p.x", "p.y")
 
@@ -232,7 +239,7 @@ def _(t: Tables) -> DataFrame:
     f"WITH {NUM}, files AS (SELECT *, pos % 3 AS f FROM numbered), g AS (SELECT f, category_id, min(pos) AS seen FROM files GROUP BY ALL), m AS (SELECT f, category_id, row_number() OVER (PARTITION BY f ORDER BY seen) AS new_id FROM g) SELECT f AS source_file, new_id AS category_id, count(*) AS n FROM files JOIN m USING (f, category_id) GROUP BY ALL",
 )
 def _(t: Tables) -> DataFrame:
-    files = coco.numbered(annotations(t), ORDER, BLOCK, "pos").withColumn("source_file", F.col("pos") % 3)
+    files = coco.numbered(annotations(t), ORDER, block(), "pos").withColumn("source_file", F.col("pos") % 3)
     seen = files.groupBy("source_file", "category_id").agg(F.min("pos").alias("at"))
     from pyspark.sql.window import Window
 
@@ -248,7 +255,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("w01_sequential_ids", f"WITH {NUM} SELECT image_id, num, category_id, supp, qty, price, pos AS new_id FROM numbered")
 def _(t: Tables) -> DataFrame:
-    return coco.numbered(annotations(t), ORDER, BLOCK).select("image_id", "num", "category_id", "supp", "qty", "price", "new_id")
+    return coco.numbered(annotations(t), ORDER, block()).select("image_id", "num", "category_id", "supp", "qty", "price", "new_id")
 
 
 @query("w02_index_in_image", f"WITH {ANN} SELECT image_id, num, category_id, price, row_number() OVER (PARTITION BY image_id ORDER BY {', '.join(ORDER[1:])}) AS ann_idx FROM ann")
@@ -258,7 +265,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("w03_first_mapping", f"WITH {NUM} SELECT supp, min_by(category_id, pos) AS first_id, max_by(category_id, pos) AS last_id FROM numbered GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    n = coco.numbered(annotations(t), ORDER, BLOCK, "pos")
+    n = coco.numbered(annotations(t), ORDER, block(), "pos")
     return n.groupBy("supp").agg(F.min_by("category_id", "pos").alias("first_id"), F.max_by("category_id", "pos").alias("last_id"))
 
 
@@ -284,7 +291,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("w06_after_max", f"WITH {ANN}, k AS (SELECT * FROM ann WHERE num = 7) SELECT image_id, category_id, price, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY {', '.join(ORDER)}) AS new_id FROM k")
 def _(t: Tables) -> DataFrame:
-    return coco.after_max(annotations(t).where("num = 7"), t.orders, ORDER, BLOCK, "o_orderkey").select("image_id", "category_id", "price", "new_id")
+    return coco.after_max(annotations(t).where("num = 7"), t.orders, ORDER, block(), "o_orderkey").select("image_id", "category_id", "price", "new_id")
 
 
 @query("u01_union_all", f"WITH {ANN} SELECT source_file, count(*) AS n, count(score) AS scored FROM (SELECT 'a' AS source_file, NULL AS score FROM ann WHERE flag = 'A' UNION ALL SELECT 'b', disc FROM ann WHERE flag = 'R') GROUP BY 1")
