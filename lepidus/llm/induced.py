@@ -174,7 +174,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     phi[sa[1:]] = sa[:-1]
     phi[sa[0]] = -1
     i = np.arange(n)
-    hard = (phi < 1) | (i < 1) | (t[i - 1] != t[phi - 1])
+    hard = (phi < 1) | (i < 1) | (t[i - 1] != t[np.maximum(phi, 1) - 1])
     plcp = np.zeros(n, np.int64)
     a = np.flatnonzero(hard & (phi >= 0))
     b = phi[a]
