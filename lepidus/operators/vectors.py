@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lepidus.operators.lineage import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -89,7 +91,7 @@ def dbscan(points: DataFrame, id_: str, coordinates: list[str], eps: float = 0.5
             low = links.join(label.select(F.col("id").alias("nid"), "cluster"), "nid").groupBy("id").agg(F.min("cluster").alias("low"))
             # the label's own label, too: chains halve
             step = label.join(low, "id").select("id", "cluster", "low").join(label.select(F.col("id").alias("low"), F.col("cluster").alias("jump")), "low", "left").select("id", F.col("cluster").alias("old"), F.coalesce("jump", "low").alias("cluster"))
-            new = step.select("id", "cluster", "old").checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else step.persist()
+            new = cut(step)
             changed = new.where("old <> cluster").count()
             label = new.select("id", "cluster")
         border = near.join(core, "id", "left_anti").join(label.select(F.col("id").alias("nid"), "cluster"), "nid").groupBy("id").agg(F.min("cluster").alias("cluster"))
@@ -124,16 +126,18 @@ def linkage(x: np.ndarray, way: str = "ward") -> list[tuple[int, int, float, int
     return out
 
 
-def cut(merges: list[tuple[int, int, float, int]], n: int, k: int | None = None, height: float | None = None) -> np.ndarray:
+def flat(merges: list[tuple[int, int, float, int]], n: int, k: int | None = None, height: float | None = None) -> np.ndarray:
     """Labels 0.. in order of first member, of k clusters or of those that merge up to ``height``."""
     parent = list(range(2 * n))
     for step, (a, b, h, _) in enumerate(merges):
         if (k is not None and step < n - k) or (height is not None and h <= height):
             parent[a] = parent[b] = n + step
+
     def root(v: int) -> int:
         while parent[v] != v:
             v = parent[v]
         return v
+
     names: dict[int, int] = {}
     return np.array([names.setdefault(root(v), len(names)) for v in range(n)], np.int32)
 
@@ -146,7 +150,7 @@ def hierarchical(rows: DataFrame, group: str, id_: str, features: list[str], k:
             raise ValueError(f"a group has {len(pdf)} rows; hierarchical clustering takes {most}")
         pdf = pdf.sort_values(id_)
         n = len(pdf)
-        labels = np.zeros(n, np.int32) if n == 1 else cut(linkage(pdf[features].to_numpy(float), way), n, None if height is not None else min(k, n), height)
+        labels = np.zeros(n, np.int32) if n == 1 else flat(linkage(pdf[features].to_numpy(float), way), n, None if height is not None else min(k, n), height)
         return pd.DataFrame({group: pdf[group].to_numpy(), id_: pdf[id_].to_numpy(), "cluster": labels})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
