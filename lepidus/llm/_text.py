@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _PI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -127,6 +127,14 @@ def word(text: str | bytes) -> np.uint64:
     return hashes(d, np.array([0]), np.array([len(d)]))[0]
 
 
+def fresh(taken: list[str], base: str) -> str:
+    """A column name that isn't taken, whatever its case."""
+    low, name = {t.lower() for t in taken}, base
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def counts(doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, minlength=n) if len(doc) else np.zeros(n, np.int64)
 

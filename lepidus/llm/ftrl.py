@@ -118,12 +118,16 @@ def train(rows: DataFrame, featurize: Featurizer, model: Ftrl, epochs: int = 3,
         data = []
         for b in batches:
             for y, sizes, f, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4)):
-                f, v, cut = f.values.to_numpy(), v.values.to_numpy().astype(float), np.cumsum(sizes)[:-1]
-                data.append((float(y), list(zip(np.split(f.astype(np.int64), cut), np.split(v, cut)))))
+                f, v, cut = f.values.to_numpy(), v.values.to_numpy(), np.cumsum(sizes)[:-1]
+                # the sample stays in memory: ids of 4 bytes, and one value where all are the same
+                v = v.astype(np.float32)
+                values = [v[:1]] * len(sizes) if len(v) and v.min() == v.max() else np.split(v, cut)
+                data.append((float(y), list(zip(np.split(f.astype(np.int32), cut), values))))
         for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(data)):
                 y, all_ = data[k]
-                model.learn(*all_[0], y, all_[1:], pull)
+                wide = [(at.astype(np.int64), np.broadcast_to(v, at.shape).astype(float)) for at, v in all_]
+                model.learn(*wide[0], y, wide[1:], pull)
         w = model.dense()
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "w": pa.array(w[at], pa.float32())})
