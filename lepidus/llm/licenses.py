@@ -25,15 +25,15 @@ COVER = 0.7
 TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("MIT", "Released under the MIT License", ("MIT License",)),
     ("MIT", "Licensed under the MIT License", ("MIT License",)),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("free of charge", "any person obtaining a copy")),
+    ("MIT", "free of charge, to any person obtaining a copy of this software", ("free of charge", "any person obtaining a copy")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ("Apache License Version 2 0",)),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ("www apache org licenses", "in compliance with the License")),
+    ("Apache-2.0", "use this file except in compliance with the License", ("file except in compliance with the License",)),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ("GNU General Public License version 3",)),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", ("GNU General Public License version 2",)),
-    ("GPL-3.0-or-later", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", ("GNU General Public License", "either version 3", "any later version")),
+    ("GPL-3.0-or-later", "Free Software Foundation, either version 3 of the License, or any later version", ("Free Software Foundation", "either version 3", "any later version")),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3", ("GNU Lesser General Public License version 3",)),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3", ("GNU Affero General Public License version 3",)),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("Redistribution and use in source and binary forms",)),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification", ("Redistribution and use in source and binary forms",)),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License", ("BSD 3 Clause License",)),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License", ("BSD 2 Clause License",)),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("Mozilla Public License v 2 0",)),
@@ -42,10 +42,10 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", ("CC BY NC 4 0",)),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0", ("CC BY ND 4 0",)),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("Creative Commons Attribution 4 0 International License",)),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    ("CC0-1.0", "possible under law, the author has waived all copyright", ("waived all copyright",)),
+    ("ISC", "distribute this software for any purpose with or without fee", ("with or without fee",)),
     ("Unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("Eclipse Public License 2 0",)),
+    ("EPL-2.0", "available under the terms of the Eclipse Public License 2.0", ("Eclipse Public License 2 0",)),
 )
 
 

@@ -98,7 +98,8 @@ def pairs(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sh
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         pivot = key[0].as_py()
-        ids, x = t.column("id").to_numpy(), unit(matrix(t.column("v").chunk(0)))
+        ids, raw = t.column("id").to_numpy(), matrix(t.column("v").chunk(0))
+        x = unit(raw)
         p = t.column("p").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
         m = p.shape[1] - shared + 1
         out: list[tuple[np.ndarray, ...]] = []
@@ -116,7 +117,8 @@ def pairs(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sh
                 first = np.where(both[:, :m] & (p[r][:, :m, None] == p[s][:, None, :m]).any(axis=2), p[r][:, :m], np.iinfo(np.int32).max).min(axis=1)
                 ok = (both.sum(axis=1) >= shared) & (first == pivot) & (ids[r] != ids[s])
                 r, s = r[ok], s[ok]
-                exact = np.einsum("ij,ij->i", x[r].astype(np.float64), x[s].astype(np.float64))
+                u, v = raw[r].astype(np.float64), raw[s].astype(np.float64)
+                exact = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
                 fine = exact >= cosine
                 out.append((np.minimum(ids[r], ids[s])[fine], np.maximum(ids[r], ids[s])[fine], exact[fine]))
         cat = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -127,5 +129,10 @@ def pairs(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sh
     return found.groupBy("vec_id", "near_id").agg(F.max("cosine").alias("cosine"))
 
 
+#: All pairs compared; the search finds 0.9 of them or more.
+SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+ SELECT a.vec_id, b.vec_id AS near_id, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

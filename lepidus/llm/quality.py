@@ -58,7 +58,7 @@ def classify(docs: DataFrame, labels: DataFrame, at_most: int = MAX_TRAIN, keep:
 
 def stage(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    name = "__quality"
+    name = _text.fresh(docs.columns, "quality")
     return ftrl.score(docs, featurize, fit(docs, labels), name).where(F.col(name) >= KEEP).drop(name)
 
 

@@ -217,15 +217,15 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             f = asks.values.slice(off[0], off[-1] - off[0])
             yield pa.RecordBatch.from_arrays([f.field("anchor"), f.field("frag"), pa.array(b.column(0).to_numpy()[k]), f.field("at"), pa.array(cut, pa.binary())], names=["anchor", "frag", "id", "at", "words"])
 
-    asked = wanted.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("anchor", "frag", "at", "size")).alias("asks"))
+    asked = wanted.groupBy(F.col("id").alias("asked_id")).agg(F.collect_list(F.struct("anchor", "frag", "at", "size")).alias("asks"))
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(asked, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "asks").mapInArrow(run, "anchor long, frag long, id long, at int, words binary")
+    return texts.join(asked, F.col("doc_id") == F.col("asked_id")).select("doc_id", "text", "asks").mapInArrow(run, "anchor long, frag long, id long, at int, words binary")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, start, n_words, first_doc_id, first_start): every maximal passage that occurred before, and where.
 
-    Null ids are left out, as are texts of under ``length`` words (null and empty ones too).  Of rows with the same doc_id,
+    Null ids are left out (stage() keeps their rows as they are), as are texts of under ``length`` words (null and empty ones too).  Of rows with the same doc_id,
     text and all, each passage has one place and isn't a repeat of itself.  Of several earlier places the first counts, so
     a copied stretch may be several spans, which then overlap by up to length - 1 words.  Other columns are ignored; an
     empty table gives no rows.
@@ -250,13 +250,14 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the words that repeat an earlier passage; a row of which nothing is left goes.  n_chars follows the text."""
-    cuts = spans(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n_words")).alias("__cuts"))
-    joined = docs.join(cuts, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    key, cut = _text.fresh(docs.columns, "cut_id"), _text.fresh(docs.columns, "cuts")
+    cuts = spans(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
+    joined = docs.join(cuts, docs["doc_id"] == cuts[key], "left").drop(key)
     schema = StructType([*docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, at in _text.slices(batches, "text"):
-            cuts = b.column(b.schema.get_field_index("__cuts")).to_pylist()
+            cuts = b.column(b.schema.get_field_index(cut)).to_pylist()
             rest = b.select(schema.names)
             if not any(cuts):
                 yield rest
@@ -287,5 +288,14 @@ def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x00-\x20\x7f]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+ p AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d WHERE len(w) >= 50),
+ h AS (SELECT doc_id, pos, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM p),
+ f AS (SELECT doc_id, pos, min({'d': doc_id, 'p': pos}) OVER (PARTITION BY h) AS f FROM h WHERE pos <= n - 50),
+ r AS (SELECT doc_id, pos, f.d AS d0, pos - f.p AS shift FROM f WHERE f.d <> doc_id OR f.p <> pos),
+ g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, d0, shift ORDER BY pos) AS k FROM r)
+ SELECT doc_id, min(pos)::INT AS start, (count(*) + 49)::INT AS n_words, d0 AS first_doc_id, (min(pos) - shift)::INT AS first_start FROM g GROUP BY doc_id, d0, shift, k"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -101,7 +101,7 @@ def classify(docs: DataFrame, labels: DataFrame, at_most: int = MAX_TRAIN, rejec
 
 def stage(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with their columns."""
-    name = "__toxicity"
+    name = _text.fresh(docs.columns, "toxicity")
     return ftrl.score(docs, featurize, fit(docs, labels), name).where(F.col(name) <= REJECT).drop(name)
 
 

@@ -128,6 +128,19 @@ def test_repeated_passages(spark, documents):
     assert got == want and want
 
 
+def test_sql_gives_the_same(spark, documents, data):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = sorted(con.execute(suffix.SQL).fetchall())
+    assert sorted(tuple(r) for r in suffix.spans(documents).collect()) == want and want
+
+    vecs = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in enumerate(vectors(np.random.default_rng(2)))], "vec_id long, embedding array<float>")
+    con.register("embeddings", vecs.toArrow())
+    assert {tuple(r) for r in pivots.pairs(vecs).collect()} <= set(con.execute(pivots.SQL).fetchall())
+
+
 def test_repeats_within_stuttering_text(spark):
     rng = np.random.default_rng(3)
     texts = ["a b " * 40, "a b " * 25 + "c d " * 30, "x " * 100, " ".join(rng.choice(list("ab"), 300)), " ".join(rng.choice(list("ab"), 300))]
