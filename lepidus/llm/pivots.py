@@ -1,13 +1,13 @@
-"""Operator 2: embedding near-dedup with a pivot-permutation index.
+"""Operator 2: embedding near-dedup with an index of pivots.
 
-Every vector is described by its ``NEAREST`` nearest reference points, in order.  The inverted file has a list of vectors for
-each pivot; two vectors that share at least ``SHARED`` pivots are candidates, and are verified by their cosine.
+Pivots are a sample of the vectors, lowest by a hash of the id, whose number grows with the square root of the table; of
+pivots nearer to each other than ``APART`` one is kept, so a crowd has few however many were drawn from it.  Directions are
+taken from the pivots' mean, so vectors in a narrow cone are told apart as well as those all around.
 
-Vectors that share SHARED of NEAREST pivots share one of the NEAREST - SHARED + 1 rarest of their pivots, so only these are
-posted, rarest (by how many vectors have the pivot) first: no pair is lost by it, and lists of crowded regions stay
-short.  A pair is taken at the first pivot that both have posted, so no pair is met twice.  Lists are compared in blocks,
-all against all; there is no cap on candidates.  Pivots are a sample of the vectors, lowest by a hash of the id, whose
-number grows with the square root of the table, so a list's length does too.
+Every vector is at home in the list of its nearest pivot, and is posted in the lists of all pivots that may be the home of a
+neighbour: those at least as near as a neighbour's home would be at the cosine asked for, less ``MARGIN`` standard deviations.
+How many these are follows from the pivots around, not from a fixed number.  A pair is found if either is posted at the other's
+home; in each list those at home are compared with all, in blocks, and no candidates are cut.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from lepidus.llm.shared import written
 
-NEAREST = 12
-SHARED = 5  # at a cosine of just 0.9, 0.92 of pairs share as many; at 0.95, 0.99
 COSINE = 0.9
 DENSITY = 8  # pivots are DENSITY * sqrt(rows)
+APART = 0.8
+MARGIN = 1.5  # either of a pair may find the other, so 0.99 of pairs at a cosine of just 0.9 are found
 BLOCK = 512
 
 
@@ -39,14 +39,35 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
 
 
-def order(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
-    """int32[n, k]: each vector's nearest pivots, nearest first; ties go to the lower pivot."""
-    s = x @ pivots.T
-    k = min(k, s.shape[1])
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(s), 1))
-    near.sort(axis=1)
-    rank = np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(near, rank, axis=1).astype(np.int32)
+def apart(pivots: np.ndarray, most: float = APART) -> np.ndarray:
+    """Pivots, in order, that are less than ``most`` near to all that stay before them."""
+    keep = np.ones(len(pivots), bool)
+    for k in range(len(pivots)):
+        if keep[k]:
+            keep[k + 1 :] &= pivots[k + 1 :] @ pivots[k] < most
+    return pivots[keep]
+
+
+class Index:
+    """Pivots as directions from their mean, and how many dimensions they spread over (all, if evenly)."""
+
+    def __init__(self, some: np.ndarray) -> None:
+        self.mean = some.mean(axis=0)
+        self.pivots = apart(unit(some - self.mean))
+        spread = np.linalg.eigvalsh((self.pivots.T @ self.pivots).astype(np.float64))
+        self.dims = max(1.0, float(spread.sum() ** 2 / max((spread**2).sum(), 1e-12)))
+
+    def posts(self, x: np.ndarray, cosine: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, pivot, whether it is the row's home) of unit vectors."""
+        w = x - self.mean
+        s = unit(w) @ self.pivots.T
+        home, a = s.argmax(axis=1), s.max(axis=1)
+        # the cosine of a pair as seen from the mean; at or below 0 any pivot may be a neighbour's home
+        c = 1 - (1 - cosine) / np.maximum((w * w).sum(axis=1), 1e-12)
+        floor = c * a - margin * np.sqrt(np.maximum(0, 1 - c * c) * np.maximum(0, 1 - a * a) / self.dims)
+        floor = np.where((c <= 0) | (a <= 0), -2, np.minimum(floor, a))
+        row, pivot = np.nonzero(s >= floor[:, None])
+        return row, pivot.astype(np.int32), home[row] == pivot
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -57,7 +78,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("v") == (size.n if size else 0))
 
 
-def pairs(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, shared: int = SHARED, density: int = DENSITY) -> DataFrame:
+def pairs(vectors: DataFrame, cosine: float = COSINE, margin: float = MARGIN, density: int = DENSITY) -> DataFrame:
     """(vec_id, near_id, cosine), vec_id < near_id, of the pairs found with at least ``cosine``.
 
     Rows that usable() leaves out are in no pair; of rows with one id the vectors are compared with all others', not with
@@ -66,70 +87,46 @@ def pairs(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sh
     spark = vectors.sparkSession
     good = written(usable(vectors), "vectors")
     n = good.count()
-    some = good.orderBy(F.xxhash64("id"), "id").limit(max(nearest, density * isqrt(n))).collect()
+    some = good.orderBy(F.xxhash64("id"), "id").limit(max(12, density * isqrt(n))).collect()
     if not some:
         return spark.createDataFrame([], "vec_id long, near_id long, cosine double")
-    pivots = spark.sparkContext.broadcast(unit(np.array([r.v for r in some], np.float32)))
-    shared = min(shared, len(some))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 1024)
-                p = order(unit(matrix(b.column(1))), pivots.value, nearest)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))], names=["id", "v", "p"])
-
-    described = written(good.mapInArrow(describe, "id long, v array<float>, p array<int>"), "described")
-    counts = np.zeros(len(some), np.int64)
-    for r in described.select(F.explode("p").alias("p")).groupBy("p").count().collect():
-        counts[r["p"]] = r["count"]
-    rarity = np.empty(len(some), np.int32)
-    rarity[np.lexsort((np.arange(len(some)), counts))] = np.arange(len(some))
-    rare = spark.sparkContext.broadcast(rarity)
+    index = spark.sparkContext.broadcast(Index(unit(np.array([r.v for r in some], np.float32))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.sort(rare.value[b.column(2).flatten().to_numpy()].reshape(b.num_rows, -1), axis=1)
-            m = p.shape[1] - shared + 1
-            t = b.take(pa.array(np.repeat(np.arange(b.num_rows), m)))
-            again = np.repeat(p, m, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, :m].ravel()), t.column(0), t.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(again) + 1) * p.shape[1], pa.int32()), pa.array(again.ravel()))], names=["pivot", "id", "v", "p"])
-
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        pivot = key[0].as_py()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(lo, BLOCK)
+                row, pivot, home = index.value.posts(unit(matrix(b.column(1))), cosine, margin)
+                for k in range(0, len(row), 8192):  # rows near to all pivots are posted in all lists
+                    t = b.take(pa.array(row[k : k + 8192]))
+                    yield pa.RecordBatch.from_arrays([pa.array(pivot[k : k + 8192]), pa.array(home[k : k + 8192]), t.column(0), t.column(1)], names=["pivot", "home", "id", "v"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
         ids, raw = t.column("id").to_numpy(), matrix(t.column("v").chunk(0))
+        home = t.column("home").to_numpy()
+        at = np.argsort(~home, kind="stable")  # those at home first
+        ids, raw, own = ids[at], raw[at], int(home.sum())
         x = unit(raw)
-        p = t.column("p").chunk(0).flatten().to_numpy().reshape(len(ids), -1)
-        m = p.shape[1] - shared + 1
-        out: list[tuple[np.ndarray, ...]] = []
-        for a in range(0, len(ids), BLOCK):
+        for a in range(0, own, BLOCK):
             for b in range(a, len(ids), BLOCK):
-                i, j = slice(a, a + BLOCK), slice(b, b + BLOCK)
-                # cosine first where it is cheap: one product of blocks; then shared pivots of what may stay
-                c = x[i] @ x[j].T
-                r, s = np.nonzero(c >= cosine - 1e-5)
+                r, s = np.nonzero(x[a : min(a + BLOCK, own)] @ x[b : b + BLOCK].T >= cosine - 1e-5)
                 r, s = r + a, s + b
-                r, s = r[r < s], s[r < s]
+                ok = (r < s) & (ids[r] != ids[s])
+                r, s = r[ok], s[ok]
                 if not len(r):
                     continue
-                both = (p[r][:, :, None] == p[s][:, None, :]).any(axis=2)
-                first = np.where(both[:, :m] & (p[r][:, :m, None] == p[s][:, None, :m]).any(axis=2), p[r][:, :m], np.iinfo(np.int32).max).min(axis=1)
-                ok = (both.sum(axis=1) >= shared) & (first == pivot) & (ids[r] != ids[s])
-                r, s = r[ok], s[ok]
                 u, v = raw[r].astype(np.float64), raw[s].astype(np.float64)
                 exact = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
                 fine = exact >= cosine
-                out.append((np.minimum(ids[r], ids[s])[fine], np.maximum(ids[r], ids[s])[fine], exact[fine]))
-        cat = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"vec_id": pa.array(cat[0]), "near_id": pa.array(cat[1]), "cosine": pa.array(np.round(cat[2], 6))})
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[r], ids[s])[fine]), pa.array(np.maximum(ids[r], ids[s])[fine]), pa.array(np.round(exact[fine], 6))], names=["vec_id", "near_id", "cosine"])
 
-    posted = described.mapInArrow(post, "pivot int, id long, v array<float>, p array<int>")
+    posted = good.mapInArrow(post, "pivot int, home boolean, id long, v array<float>")
     found = posted.groupBy("pivot").applyInArrow(compare, "vec_id long, near_id long, cosine double")
-    return found.groupBy("vec_id", "near_id").agg(F.max("cosine").alias("cosine"))
+    return found.groupBy("vec_id", "near_id").agg(F.max("cosine").alias("cosine"))  # both of a pair may find it
 
 
-#: All pairs compared; the search finds 0.9 of them or more.
+#: All pairs compared; the search finds nearly all of them.
 SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
  SELECT a.vec_id, b.vec_id AS near_id, round(list_inner_product(a.e, b.e) / (a.n * b.n), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9"""
 

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -184,6 +185,34 @@ def test_pivots_against_brute_force(spark):
     assert (170, 171) in got and got[170, 171] == 1.0
 
 
+def turned(rng, x, c):
+    """Unit vectors at cosine ``c`` to those of ``x``, in random directions."""
+    g = rng.normal(size=x.shape)
+    return c * x + np.sqrt(1 - c * c) * pivots.unit(g - (g * x).sum(axis=1, keepdims=True) * x)
+
+
+@pytest.mark.parametrize("n", [2000, 20000])
+@pytest.mark.parametrize("cone", [0.0, 1.5])
+def test_pivots_find_all_bands_and_crowds(spark, n, cone):
+    rng = np.random.default_rng(5)
+    x = pivots.unit(rng.normal(size=(n, 64)) + cone * (np.arange(64) == 0) * 8)
+    mates = [turned(rng, x[k * 200 : (k + 1) * 200], c) for k, c in enumerate((0.905, 0.93, 0.97))]
+    crowd = turned(rng, np.repeat(pivots.unit(rng.normal(size=(1, 64))), 1500, axis=0), 0.95)
+    narrow = pivots.unit(pivots.unit(rng.normal(size=(1, 64))) + 0.12 * rng.normal(size=(300, 6)) @ rng.normal(size=(6, 64)) / 3)
+    x = np.concatenate([x, *mates, crowd, narrow]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = pivots.pairs(df).toPandas()
+    found = np.unique(got.vec_id * len(x) + got.near_id)
+    assert len(found) == len(got) and (got.vec_id < got.near_id).all() and (got.cosine >= pivots.COSINE).all()
+    u = pivots.unit(x.astype(np.float64))
+    for k in range(3):
+        i = np.arange(k * 200, (k + 1) * 200)
+        assert np.isin(i * len(x) + n + i, found).mean() >= 0.95
+    for lo, m, least in ((n + 600, 1500, 0.98), (n + 2100, 300, 0.95)):  # in few directions, more is missed
+        i, j = np.nonzero(np.triu(u[lo : lo + m] @ u[lo : lo + m].T, 1) >= pivots.COSINE)
+        assert len(i) > 1000 and np.isin((i + lo) * len(x) + j + lo, found).mean() >= least
+
+
 def test_pivots_take_hard_rows(spark):
     rows = [(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (2, [2.0, 0.01], 3), (3, None, 3), (4, [], 3), (5, [0.0, 0.0], 3), (6, [float("nan"), 1.0], 3), (7, [1.0, 2.0, 3.0], 3), (None, [1.0, 0.0], None), (8, [None, 1.0], 3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, pivot int")
