@@ -42,7 +42,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("g18_lab_clusters")
 def _(t: Tables) -> DataFrame:
-    c = pixels(t).where("sample < 100").select("sample", "c0", "c1", "c2").distinct()
+    c = pixels(t).select("sample", "c0", "c1", "c2").distinct()
     l_, a, b = fc.lab(F.col("c0"), F.col("c1"), F.col("c2"))
     each = c.select("sample", F.row_number().over(Window.partitionBy("sample").orderBy("c0", "c1", "c2")).alias("k"), l_.alias("l"), a.alias("a"), b.alias("b"))
     return vectors.hierarchical(each, "sample", "k", ["l", "a", "b"], way="average", height=30.0)
@@ -56,7 +56,7 @@ def _(t: Tables) -> DataFrame:
 
 def _picture(t: Tables) -> DataFrame:
     h, s, v = fc.hsv(F.col("c0"), F.col("c1"), F.col("c2"))
-    p = pixels(t).where("sample < 200").select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), h.alias("h"), s.alias("s"), v.cast("double").alias("v"))
+    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), h.alias("h"), s.alias("s"), v.cast("double").alias("v"))
     return coco.first_of(p, ["image", "y", "x"], ["h", "s", "v"])
 
 
