@@ -138,7 +138,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("a18_mean_shape")
 def _(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(shapes.mean_shape(points(t), most=8).round(6))
+    return t.spark.createDataFrame(shapes.mean_shape(points(t)).round(6))
 
 
 @query(

@@ -73,3 +73,25 @@ def test_colours_cluster_in_every_sample(spark, small):
     for k in IDS:
         named = np.array([x for _, x in got[k]])
         assert ((named[:, None] == named) == (want[:, None] == want)).all()
+
+
+def test_mean_shape_is_iterated_until_it_rests(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=(20, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(20), "embedding": list(e)}), tmp_path / "embeddings.parquet")
+    z = e[:, 0::2].astype(float) + 1j * e[:, 1::2]
+    z -= z.mean(axis=1, keepdims=True)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    mean, rounds = z[0], 0
+    for rounds in range(1, 101):
+        turn = (z.conj() * mean).sum(axis=1)
+        new = (z * (turn / abs(turn))[:, None]).mean(axis=0)
+        new /= np.linalg.norm(new)
+        moved, mean = np.linalg.norm(new - mean), new
+        if rounds == 8:
+            early = mean
+        if moved < 1e-5:
+            break
+    assert rounds > 8 and np.linalg.norm(early - mean) > 1e-3
+    got = plans.QUERIES["a18_mean_shape"](spark, str(tmp_path)).toPandas().sort_values("i")
+    assert np.allclose(got.x + 1j * got.y, mean, atol=1e-4)
