@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lepidus.operators.lineage import cut
+from lepidus.operators.lineage import components, written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,33 +75,26 @@ def model_matrix(vectors: DataFrame, key: str, model: str, vector: str) -> DataF
 def dbscan(points: DataFrame, id_: str, coordinates: list[str], eps: float = 0.5, least: int = 5) -> DataFrame:
     """(id, cluster): density clusters, each named after its least core id; -1 is noise; a border point goes to the least adjacent cluster.
 
-    Points are dealt into cells of side eps, so only the 3**d cells around a point are met.  Clusters are components of core
-    points, by labels that fall to the least neighbour's until none changes.
+    Points are dealt into cells of side eps, so only the 3**d cells around a point are met.  Points at one place are one
+    point with a weight.  Pairs within eps are found once and written; clusters are connected components of the core points.
     """
     cell = lambda c: F.floor(F.col(c) / eps)
-    p = points.select(F.col(id_).alias("id"), *coordinates, *[cell(c).alias(f"_{c}") for c in coordinates])
+    every = points.select(F.col(id_).alias("id"), *coordinates)
+    p = every.groupBy(*coordinates).agg(F.min("id").alias("id"), F.count("*").alias("w")).withColumns({f"_{c}": cell(c) for c in coordinates})
     around = p
     for c in coordinates:
         around = around.withColumn(f"_{c}", F.explode(F.array(F.col(f"_{c}") - 1, F.col(f"_{c}"), F.col(f"_{c}") + 1)))
-    other = around.select(F.col("id").alias("nid"), *[F.col(c).alias(f"n_{c}") for c in coordinates], *[f"_{c}" for c in coordinates])
+    other = around.select(F.col("id").alias("nid"), F.col("w").alias("nw"), *[F.col(c).alias(f"n_{c}") for c in coordinates], *[f"_{c}" for c in coordinates])
     d2 = sum((F.col(c) - F.col(f"n_{c}")) * (F.col(c) - F.col(f"n_{c}")) for c in coordinates)
-    near = p.join(other, [f"_{c}" for c in coordinates]).where(d2 <= eps * eps).select("id", "nid").persist()
-    try:
-        core = near.groupBy("id").count().where(F.col("count") >= least).select("id")
-        links = near.join(core, "id", "left_semi").join(core.select(F.col("id").alias("nid")), "nid", "left_semi").persist()
-        label, changed = core.withColumn("cluster", F.col("id")), 1
-        while changed:
-            low = links.join(label.select(F.col("id").alias("nid"), "cluster"), "nid").groupBy("id").agg(F.min("cluster").alias("low"))
-            # the label's own label, too: chains halve
-            step = label.join(low, "id").select("id", "cluster", "low").join(label.select(F.col("id").alias("low"), F.col("cluster").alias("jump")), "low", "left").select("id", F.col("cluster").alias("old"), F.coalesce("jump", "low").alias("cluster"))
-            new = cut(step)
-            changed = new.where("old <> cluster").count()
-            label = new.select("id", "cluster")
-        border = near.join(core, "id", "left_anti").join(label.select(F.col("id").alias("nid"), "cluster"), "nid").groupBy("id").agg(F.min("cluster").alias("cluster"))
-        named = label.unionByName(border)
-        return points.select(F.col(id_).alias("id")).join(named, "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
-    finally:
-        near.unpersist()
+    near = written(p.join(other, [f"_{c}" for c in coordinates]).where(d2 <= eps * eps).select("id", "nid", "nw"), "near")
+    core = near.groupBy("id").agg(F.sum("nw").alias("n")).where(F.col("n") >= least).select("id")
+    links = near.join(core, "id", "left_semi").join(core.select(F.col("id").alias("nid")), "nid", "left_semi")
+    root = components(links.where("id < nid").select(F.col("id").alias("a"), F.col("nid").alias("b")))
+    label = core.join(root, core["id"] == root["node"], "left").select("id", F.coalesce("root", "id").alias("cluster"))
+    border = near.join(core, "id", "left_anti").join(label.select(F.col("id").alias("nid"), "cluster"), "nid").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    place = p.select("id", *coordinates).join(label.unionByName(border), "id").select("cluster", *[F.col(c).alias(f"p_{c}") for c in coordinates])
+    same = reduce(and_, [F.col(c) == F.col(f"p_{c}") for c in coordinates])
+    return every.join(place, same, "left").select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def linkage(x: np.ndarray, way: str = "ward") -> list[tuple[int, int, float, int]]:
