@@ -1,48 +1,5 @@
 """Tables written to the shared folder, and connected components over them."""
 
-from __future__ import annotations
+from lepidus.operators.lineage import components, folder, forget, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="lepidus")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once and read again from the shared folder: its lineage is cut, and it outlives any executor."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/lepidus-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b), root being the least node of its component.
-
-    Alternating large stars and small stars: each round is two groupings over the edges left, and rounds grow with the
-    logarithm of the longest path.  Self-loops and repeated edges don't matter; no edges give no rows.
-    """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = written(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        mark = now
+__all__ = ["components", "folder", "forget", "written"]

@@ -137,9 +137,9 @@ def test_sql_gives_the_same(spark, documents, data):
     want = sorted(con.execute(suffix.SQL).fetchall())
     assert sorted(tuple(r) for r in suffix.spans(documents).collect()) == want and want
 
-    vecs = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in enumerate(vectors(np.random.default_rng(2)))], "vec_id long, embedding array<float>")
+    vecs = table(spark, vectors(np.random.default_rng(2)))
     con.register("embeddings", vecs.toArrow())
-    assert {tuple(r) for r in pivots.pairs(vecs).collect()} <= set(con.execute(pivots.SQL).fetchall())
+    assert sorted(tuple(r) for r in pivots.classes(vecs).collect()) == sorted(con.execute(pivots.SQL).fetchall())
 
 
 def test_repeats_within_stuttering_text(spark):
@@ -175,14 +175,31 @@ def vectors(rng, n=400, d=32):
     return x.astype(np.float32)
 
 
-def test_pivots_against_brute_force(spark):
+def table(spark, x):
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(np.asarray(x, np.float32))}))
+
+
+def all_links(x, block=2000):
+    """How many others are near each row, and the least row of its class."""
+    u, links, edges = pivots.unit(np.asarray(x, np.float32).astype(np.float64)), [], []
+    for k in range(0, len(u), block):
+        near = u[k : k + block] @ u.T >= pivots.COSINE
+        links.append(near.sum(axis=1) - 1)
+        i, j = np.nonzero(near)
+        keep = i + k < j
+        edges.append(np.stack([i[keep] + k, j[keep]], axis=1))
+    parent = np.arange(len(u))
+    for e in edges:
+        pivots._merge(parent, e[:, 0], e[:, 1])
+    return np.concatenate(links), parent
+
+
+@pytest.mark.parametrize("most", [8192, 40])
+def test_pivots_against_brute_force(spark, most):
     x = vectors(np.random.default_rng(0))
-    df = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {(r.vec_id, r.near_id): r.cosine for r in pivots.pairs(df).collect()}
-    u = pivots.unit(x.astype(np.float64))
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T, 1) >= pivots.COSINE))}
-    assert set(got) <= want and len(set(got) & want) >= 0.9 * len(want) > 400
-    assert (170, 171) in got and got[170, 171] == 1.0
+    got = pivots.classes(table(spark, x), most=most).toPandas().sort_values("vec_id")
+    links, root = all_links(x)
+    assert got.links.tolist() == links.tolist() and got.class_id.tolist() == root.tolist() and links.sum() > 800
 
 
 def turned(rng, x, c):
@@ -195,29 +212,38 @@ def turned(rng, x, c):
 @pytest.mark.parametrize("cone", [0.0, 1.5])
 def test_pivots_find_all_bands_and_crowds(spark, n, cone):
     rng = np.random.default_rng(5)
+    one = lambda: pivots.unit(rng.normal(size=(1, 64)))
     x = pivots.unit(rng.normal(size=(n, 64)) + cone * (np.arange(64) == 0) * 8)
-    mates = [turned(rng, x[k * 200 : (k + 1) * 200], c) for k, c in enumerate((0.905, 0.93, 0.97))]
-    crowd = turned(rng, np.repeat(pivots.unit(rng.normal(size=(1, 64))), 1500, axis=0), 0.95)
-    narrow = pivots.unit(pivots.unit(rng.normal(size=(1, 64))) + 0.12 * rng.normal(size=(300, 6)) @ rng.normal(size=(6, 64)) / 3)
-    x = np.concatenate([x, *mates, crowd, narrow]).astype(np.float32)
-    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
-    got = pivots.pairs(df).toPandas()
-    found = np.unique(got.vec_id * len(x) + got.near_id)
-    assert len(found) == len(got) and (got.vec_id < got.near_id).all() and (got.cosine >= pivots.COSINE).all()
-    u = pivots.unit(x.astype(np.float64))
-    for k in range(3):
-        i = np.arange(k * 200, (k + 1) * 200)
-        assert np.isin(i * len(x) + n + i, found).mean() >= 0.95
-    for lo, m, least in ((n + 600, 1500, 0.98), (n + 2100, 300, 0.95)):  # in few directions, more is missed
-        i, j = np.nonzero(np.triu(u[lo : lo + m] @ u[lo : lo + m].T, 1) >= pivots.COSINE)
-        assert len(i) > 1000 and np.isin((i + lo) * len(x) + j + lo, found).mean() >= least
+    parts = {"lone": x} | {f"mates {c}": turned(rng, x[k * 200 : (k + 1) * 200], c) for k, c in enumerate((0.905, 0.93, 0.97))}
+    parts["crowd"] = turned(rng, np.repeat(one(), 1500, axis=0), 0.95)
+    parts["narrow"] = pivots.unit(one() + 0.12 * rng.normal(size=(300, 6)) @ rng.normal(size=(6, 64)) / 3)
+    parts["near copies"] = turned(rng, np.repeat(one(), 600, axis=0), 0.99)
+    parts["copies"] = np.repeat(one(), 600, axis=0)
+    x = np.concatenate(list(parts.values())).astype(np.float32)
+    got = pivots.classes(table(spark, x)).toPandas().sort_values("vec_id")
+    links, root = all_links(x)
+    found, at = got.links.to_numpy(), 0
+    assert (found <= links).all()
+    for name, part in parts.items():
+        own = slice(at, at + len(part))
+        assert found[own].sum() >= {"crowd": 0.98, "near copies": 1, "copies": 1}.get(name, 0.95) * links[own].sum(), name  # in few directions, more is missed
+        if name in ("crowd", "near copies", "copies"):
+            assert (got.class_id.to_numpy()[own] == root[own]).mean() > 0.99
+        at += len(part)
 
 
 def test_pivots_take_hard_rows(spark):
-    rows = [(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (2, [2.0, 0.01], 3), (3, None, 3), (4, [], 3), (5, [0.0, 0.0], 3), (6, [float("nan"), 1.0], 3), (7, [1.0, 2.0, 3.0], 3), (None, [1.0, 0.0], None), (8, [None, 1.0], 3)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, pivot int")
-    assert [(r.vec_id, r.near_id) for r in pivots.pairs(df).collect()] == [(1, 2)]
-    assert pivots.pairs(df.where("vec_id is null")).count() == 0
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (2, [2.0, 0.01], 3), (3, None, 3), (4, [], 3), (5, [0.0, 0.0], 3), (6, [nan, 1.0], 3), (7, [1.0, 2.0, 3.0], 3), (8, [1.0, 2.0, 3.1], 3), (None, [1.0, 0.0], None), (9, [None, 1.0], 3), (10, [inf, 1.0], 3), (2, [0.0, 1.0], 3), (11, [-0.0, 3.0], 3), (12, [3e30, 1e30], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int")
+    got = sorted(map(tuple, pivots.classes(df).collect()), key=str)
+    by = {}
+    for r in got:
+        by.setdefault(r[0], []).append(r[1:])
+    assert by[3] == [(3, 0)] and by[4] == [(4, 0)] and by[5] == [(5, 0)] and by[6] == [(6, 0)] and by[9] == [(9, 0)] and by[10] == [(10, 0)] and by[None] == [(None, 0)]
+    assert by[7] == [(7, 1)] and by[8] == [(7, 1)] and by[11] == [(2, 1)]
+    assert by[1] == [(1, 3), (1, 3)] and sorted(by[2]) == [(1, 3), (2, 1)] and by[12] == [(1, 3)]
+    assert pivots.classes(df.where("vec_id is null")).count() == 1 and pivots.classes(df.where("false")).count() == 0
 
 
 def test_word_hashes_are_of_content():
