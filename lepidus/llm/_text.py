@@ -6,6 +6,7 @@ the size of an Arrow batch; a text longer than that is a slice of its own and is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+LONG = 256
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _PI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -98,12 +100,23 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 
 def hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """(start, end) -> a 64-bit hash of each data[start:end]; equal bytes give equal hashes, wherever they stand."""
+    """(start, end) -> a 64-bit hash of each data[start:end]; equal bytes give equal hashes, wherever they stand.
+
+    A polynomial modulo 2**64 can be made to collide by texts of 1024 bytes or more, so runs of over ``LONG`` bytes get a
+    cryptographic digest instead.
+    """
     n = len(data)
     up, down = _power(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    return lambda s, e: mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+
+    def of(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        out = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        for k in np.flatnonzero(e - s > LONG).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[s[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+    return of
 
 
 def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:

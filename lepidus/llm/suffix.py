@@ -6,10 +6,15 @@ it stands in a passage that occurred before, "before" by (doc_id, position): in
 No machine sees the corpus, so suffixes are sorted in shards, and what must meet is sent to the same shard by content.
 Every window of LENGTH words has one anchor: the last least hash among the windows of ``GRAM`` words within it, which is
 the same wherever these words stand.  Windows of one text with one anchor make a fragment.  (1) Anchors are found in every
-text and meet by hash; those that occur once are done with.  (2) Fragments that are equal word for word share their anchor
-and need no sorting.  (3) For anchors with several distinct fragments, one copy of each fragment's words goes to the
-anchor's shard, where a suffix array is made by induced sorting (``induced``) and permuted common prefixes of LENGTH words
-or more give the windows that are equal.  The result is exact: nothing is sampled or capped.
+text and counted by an aggregate with partial sums; those that occur once are done with.  (2) Fragments that are equal word
+for word share their anchor and need no sorting: of each the first place is kept.  (3) For anchors with several distinct
+fragments, one copy of each fragment's words goes to the anchor's shard, where a suffix array is made by induced sorting
+(``induced``) and permuted common prefixes of LENGTH words or more give the windows that are equal.  (4) An anchor with more
+than ``CROWD`` distinct fragments (a short passage that very many texts have, each among its own words) would be too much for
+one shard: its fragments' windows meet by a hash of all their words, in an aggregate, which gives the same result.
+
+Nothing is sampled or capped.  Words are told apart by hashes of 64 bits, spans of words by hashes of these.  A row is known
+by its doc_id and a hash of its text, so rows that share a doc_id don't mix.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lepidus.llm import _text, induced
-from lepidus.llm.shared import written
+from lepidus.llm.shared import forget, written
 
 LENGTH = 50
 GRAM = 20
-SHARD = 400_000  # words to a shard's suffix array; an anchor is never split
+SHARD = 400_000  # words to a shard's suffix array
+CROWD = 8_000  # distinct fragments of an anchor that one shard takes
 
 
 def _last_least(g: np.ndarray, w: int) -> np.ndarray:
@@ -73,63 +79,32 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _text.hashes(data, s, e), np.searchsorted(s, at)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, sub, text) of the rows that have an id; sub is a hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(text).alias("sub"), text.alias("text"))
+
+
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(anchor, frag, id, at, size) of every fragment of every text."""
+    """(anchor, frag, id, sub, at, size) of every fragment of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in _text.slices(batches, "text"):
             h, first = _words(data, offsets)
             anchor, frag, begin, size = _fragments(h, first, length, gram)
             doc = np.searchsorted(first, begin, side="right") - 1
-            ids = b.column(0).to_numpy()[doc]
+            ids, subs = b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(frag.view(np.int64)), pa.array(ids), pa.array((begin - first[doc]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["anchor", "frag", "id", "at", "size"]
+                [pa.array(anchor.view(np.int64)), pa.array(frag.view(np.int64)), pa.array(ids), pa.array(subs), pa.array((begin - first[doc]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["anchor", "frag", "id", "sub", "at", "size"]
             )
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "anchor long, frag long, id long, at int, size int")
+    return _rows(docs).mapInArrow(run, "anchor long, frag long, id long, sub long, at int, size int")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """Of ``found`` (marks), those whose anchor occurs twice or more: (anchor, frag, id, at, size, mixed, lead).
-
-    ``mixed``: the anchor has several distinct fragments.  ``lead``: the row is the first of its fragment.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out(bs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(bs).combine_chunks()
-            anchor, frag, i, at = (t.column(k).to_numpy() for k in range(4))
-            start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            size = np.diff(np.append(start, len(anchor)))
-            keep = np.repeat(size > 1, size)
-            if not keep.any():
-                return
-            run_ = np.repeat(np.arange(len(size)), size)[keep]
-            frag, i, at = frag[keep], i[keep], at[keep]
-            order = np.lexsort((at, i, frag, run_))
-            r, f = run_[order], frag[order]
-            new = np.concatenate([[True], (r[1:] != r[:-1]) | (f[1:] != f[:-1])])
-            lead = np.zeros(len(order), bool)
-            lead[order] = new
-            several = np.bincount(r, new, len(size)) > 1
-            t = t.filter(pa.array(keep)).append_column("mixed", pa.array(several[run_])).append_column("lead", pa.array(lead))
-            yield from t.combine_chunks().to_batches()
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield from out([*held, b.slice(0, last)])
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield from out(held)
-
-    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, frag long, id long, at int, size int, mixed boolean, lead boolean")
+    """Of ``found`` (marks), those whose anchor occurs twice or more, and whether it has several distinct fragments (``mixed``)."""
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("frag").alias("lo"), F.max("frag").alias("hi")).where("n > 1")
+    return found.join(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor")
 
 
 def _shard(frag: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,57 +127,69 @@ def _shard(frag: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray,
     return group[fits], owner[sa][fits], offset[sa][fits]
 
 
+FOUND = "anchor long, frag long, j int, n int, id0 long, sub0 long, at0 int"
+
+
 def classes(content: DataFrame, length: int = LENGTH) -> DataFrame:
-    """For fragments of shared anchors (anchor, frag, id, at, words): where each of their windows first occurred.
+    """For fragments of shared anchors (anchor, frag, id, sub, at, words): where each of their windows first occurred.
 
-    (anchor, frag, j, n, id0, at0): windows j .. j + n - 1 of the fragment occurred first in id0 from word at0 on.
+    (anchor, frag, j, n, id0, sub0, at0): windows j .. j + n - 1 of the fragment occurred first in id0 from word at0 on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, np.ndarray]] = []
+        held: list[tuple[int, int, int, int, int, np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            group, own, off = _shard([x[4] for x in held], length)
-            ids, ats = np.array([x[2] for x in held], np.int64), np.array([x[3] for x in held], np.int64)
-            order = np.lexsort((ats[own] + off, ids[own], group))
+            group, own, off = _shard([x[5] for x in held], length)
+            ids, subs, ats = (np.array([x[k] for x in held], np.int64) for k in (2, 3, 4))
+            order = np.lexsort((ats[own] + off, subs[own], ids[own], group))
             group, own, off = group[order], own[order], off[order]
             new = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
             first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0)) if len(group) else np.zeros(0, np.int64)
-            id0, at0 = ids[own][first], (ats[own] + off)[first]
+            id0, sub0, at0 = ids[own][first], subs[own][first], (ats[own] + off)[first]
             order = np.lexsort((off, own))
-            own, off, id0, at0 = own[order], off[order], id0[order], at0[order]
-            cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1) | (id0[1:] != id0[:-1]) | (at0[1:] != at0[:-1] + 1)])) if len(own) else np.zeros(0, np.int64)
+            own, off, id0, sub0, at0 = own[order], off[order], id0[order], sub0[order], at0[order]
+            goes_on = (own[1:] == own[:-1]) & (off[1:] == off[:-1] + 1) & (id0[1:] == id0[:-1]) & (sub0[1:] == sub0[:-1]) & (at0[1:] == at0[:-1] + 1)
+            cut = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(own) else np.zeros(0, np.int64)
             n = np.diff(np.append(cut, len(own)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array([x[0] for x in held], np.int64)[own[cut]]),
-                    pa.array(np.array([x[1] for x in held], np.int64)[own[cut]]),
-                    pa.array(off[cut].astype(np.int32)),
-                    pa.array(n.astype(np.int32)),
-                    pa.array(id0[cut]),
-                    pa.array(at0[cut].astype(np.int32)),
-                ],
-                names=["anchor", "frag", "j", "n", "id0", "at0"],
-            )
+            anchor, frag = (np.array([x[k] for x in held], np.int64)[own[cut]] for k in (0, 1))
+            values = [anchor, frag, off[cut].astype(np.int32), n.astype(np.int32), id0[cut], sub0[cut], at0[cut].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["anchor", "frag", "j", "n", "id0", "sub0", "at0"])
 
         total, last = 0, None
         for b in batches:
-            for a, f, i, at, w in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for a, f, i, sub, at, w in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if total >= SHARD and a != last:
                     yield from out()
                     held.clear()
                     total = 0
                 last = a
-                held.append((a, f, i, at, np.frombuffer(w, np.uint64)))
+                held.append((a, f, i, sub, at, np.frombuffer(w, np.uint64)))
                 total += len(w) // 8
         if held:
             yield from out()
 
-    return content.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, frag long, j int, n int, id0 long, at0 int")
+    return content.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, FOUND)
+
+
+def crowded(content: DataFrame, length: int = LENGTH) -> DataFrame:
+    """What classes() gives, a window a row, from an aggregate over the windows' hashes: for anchors of very many fragments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, w in enumerate(b.column(5).to_pylist()):
+                win = _text.windows(np.frombuffer(w, np.uint64), length).view(np.int64)
+                one = b.slice(k, 1).take(pa.array(np.zeros(len(win), np.int64)))
+                j = np.arange(len(win), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array(one.column(4).to_numpy() + j, pa.int32()), pa.array(j), pa.array(win)], names=["anchor", "frag", "id", "sub", "at", "j", "win"])
+
+    each = written(content.mapInArrow(run, "anchor long, frag long, id long, sub long, at int, j int, win long"), "windows")
+    first = each.groupBy("anchor", "win").agg(F.min(F.struct("id", "sub", "at")).alias("f"))
+    return each.join(first, ["anchor", "win"]).select("anchor", "frag", "j", F.lit(1).alias("n"), F.col("f.id").alias("id0"), F.col("f.sub").alias("sub0"), F.col("f.at").alias("at0"))
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of ``wanted`` (anchor, frag, id, at, size), one row each, from the texts: (anchor, frag, id, at, words)."""
+    """The words of ``wanted`` (anchor, frag, id, sub, at, size), one row each, from the texts: (anchor, frag, id, sub, at, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in _text.slices(batches, "text"):
@@ -215,44 +202,63 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             begin = first[k] + at[part]
             cut = [h[x : x + n].tobytes() for x, n in zip(begin, size[part])]
             f = asks.values.slice(off[0], off[-1] - off[0])
-            yield pa.RecordBatch.from_arrays([f.field("anchor"), f.field("frag"), pa.array(b.column(0).to_numpy()[k]), f.field("at"), pa.array(cut, pa.binary())], names=["anchor", "frag", "id", "at", "words"])
-
-    asked = wanted.groupBy(F.col("id").alias("asked_id")).agg(F.collect_list(F.struct("anchor", "frag", "at", "size")).alias("asks"))
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(asked, F.col("doc_id") == F.col("asked_id")).select("doc_id", "text", "asks").mapInArrow(run, "anchor long, frag long, id long, at int, words binary")
+            yield pa.RecordBatch.from_arrays([f.field("anchor"), f.field("frag"), b.column(0).take(pa.array(k)), b.column(1).take(pa.array(k)), f.field("at"), pa.array(cut, pa.binary())], names=["anchor", "frag", "id", "sub", "at", "words"])
+
+    asked = wanted.groupBy(F.col("id").alias("asked_id"), F.col("sub").alias("asked_sub")).agg(F.collect_list(F.struct("anchor", "frag", "at", "size")).alias("asks"))
+    joined = _rows(docs).join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("sub") == F.col("asked_sub"))).select("doc_id", "sub", "text", "asks")
+    return joined.mapInArrow(run, "anchor long, frag long, id long, sub long, at int, words binary")
+
+
+def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """spans() with ``sub``, the hash of the row's text."""
+    found = written(marks(docs, length, gram), "marks")
+    rows = written(repeated(found), "repeated")
+    forget(found)
+    key, place = ["anchor", "frag"], F.struct("id", "sub", "at")
+    leads = written(rows.groupBy(*key, "mixed").agg(F.min(place).alias("f"), F.first("size").alias("size")), "leads")
+    plain = rows.where("not mixed").join(leads.where("not mixed").select(*key, "f"), key)
+    plain = plain.select("id", "sub", F.col("at").alias("start"), (F.col("size") - length + 1).alias("n"), F.col("f.id").alias("id0"), F.col("f.sub").alias("sub0"), F.col("f.at").alias("at0"))
+    wanted = leads.where("mixed").select(*key, "f.id", "f.sub", "f.at", "size")
+    hot = written(wanted.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor"), "crowds")
+    some = bool(hot.head(1))
+    same = classes(contents(docs, wanted.join(hot, "anchor", "left_anti") if some else wanted), length)
+    if some:
+        same = same.unionByName(crowded(contents(docs, wanted.join(hot, "anchor", "left_semi")), length))
+    mixed = rows.where("mixed").select(*key, "id", "sub", "at").join(same, key).select("id", "sub", (F.col("at") + F.col("j")).alias("start"), "n", "id0", "sub0", "at0")
+    both = plain.unionByName(mixed).where("id <> id0 or sub <> sub0 or start <> at0").distinct()
+    # windows start .. start + n - 1 repeat those from at0 on: those that follow on along one diagonal are one span
+    line = ["id", "sub", "id0", "sub0", "shift"]
+    one = both.withColumn("shift", F.col("start") - F.col("at0"))
+    along = Window.partitionBy(*line).orderBy("start", "n")
+    reach = F.max(F.col("start") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    one = one.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1))
+    one = one.withColumn("part", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    got = one.groupBy(*line, "part").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"))
+    return got.select(F.col("id").alias("doc_id"), "sub", "start", (F.col("stop") - F.col("start") + length - 1).alias("n_words"), F.col("id0").alias("first_doc_id"), (F.col("start") - F.col("shift")).alias("first_start"))
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(doc_id, start, n_words, first_doc_id, first_start): every maximal passage that occurred before, and where.
 
-    Null ids are left out (stage() keeps their rows as they are), as are texts of under ``length`` words (null and empty ones too).  Of rows with the same doc_id,
-    text and all, each passage has one place and isn't a repeat of itself.  Of several earlier places the first counts, so
-    a copied stretch may be several spans, which then overlap by up to length - 1 words.  Other columns are ignored; an
-    empty table gives no rows.
+    Null ids are left out (stage() keeps their rows as they are), as are texts of under ``length`` words (null and empty ones
+    too).  Of rows with the same doc_id and text, each passage has one place and isn't a repeat of itself; rows of one doc_id
+    with different texts are told apart, and the one whose text has the lower hash comes before the other.  Of several
+    earlier places the first counts, so a copied stretch may be several spans, which then overlap by up to length - 1 words.
+    Other columns are ignored; an empty table gives no rows.
     """
-    rows = written(repeated(marks(docs, length, gram)), "marks")
-    key = ["anchor", "frag"]
-    whole = rows.where("not mixed")
-    w = Window.partitionBy(*key)
-    first = F.min(F.struct("id", "at")).over(w)
-    plain = whole.withColumn("f", first).select("id", F.col("at").alias("start"), (F.col("size") - length + 1).alias("n"), F.col("f.id").alias("id0"), F.col("f.at").alias("at0"))
-    found = classes(contents(docs, rows.where("mixed and lead").select(*key, "id", "at", "size")), length)
-    mixed = rows.where("mixed").select(*key, "id", "at").join(found, key).select("id", (F.col("at") + F.col("j")).alias("start"), "n", "id0", "at0")
-    both = plain.unionByName(mixed).where("id <> id0 or start <> at0").distinct()
-    # windows start .. start + n - 1 repeat those from at0 on: those that follow on along one diagonal are one span
-    along = Window.partitionBy("id", "id0", F.col("start") - F.col("at0")).orderBy("start", "n")
-    reach = F.max(F.col("start") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    part = F.sum(F.when(reach >= F.col("start"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    one = both.withColumn("shift", F.col("start") - F.col("at0")).withColumn("part", part)
-    got = one.groupBy("id", "id0", "shift", "part").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"))
-    return got.select(F.col("id").alias("doc_id"), "start", (F.col("stop") - F.col("start") + length - 1).alias("n_words"), F.col("id0").alias("first_doc_id"), (F.col("start") - F.col("shift")).alias("first_start"))
+    return _spans(docs, length, gram, crowd).drop("sub")
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` without the words that repeat an earlier passage; a row of which nothing is left goes.  n_chars follows the text."""
-    key, cut = _text.fresh(docs.columns, "cut_id"), _text.fresh(docs.columns, "cuts")
-    cuts = spans(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
-    joined = docs.join(cuts, docs["doc_id"] == cuts[key], "left").drop(key)
+    """``docs`` without the words that repeat an earlier passage; a row of which nothing is left goes.  n_chars follows the text.
+
+    A row is cut by its own text's spans, whatever other rows its doc_id has; repeated rows are cut alike.  Rows without an id
+    and texts without a repeated passage stay as they are.
+    """
+    cut = _text.fresh(docs.columns, "cuts")
+    cuts = _spans(docs).groupBy(F.col("doc_id").alias("cut_id"), F.col("sub").alias("cut_sub")).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
+    own = (docs["doc_id"] == cuts["cut_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cuts["cut_sub"])
+    joined = docs.join(cuts, own, "left").select(*[docs[c] for c in docs.columns], cuts[cut])
     schema = StructType([*docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
