@@ -13,7 +13,9 @@ Pieces are what the vocabulary's pattern splits a text into; the ids of pieces s
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -27,6 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED = 600_000
 LONG = 64
+MOST = 2_000_000
 
 
 class Bpe:
@@ -159,35 +162,53 @@ def read(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_made: dict[int, Bpe] = {}
+@dataclass(frozen=True)
+class Vocabulary:
+    """What the driver broadcasts: ranks of at most ``MOST`` tokens, and a digest of all of them by which workers know their coder."""
 
+    ranks: dict[bytes, int]
+    digest: str
 
-def _bpe(ranks: dict[bytes, int]) -> Bpe:
-    key = hash((len(ranks), *list(ranks.items())[-50:]))
-    if key not in _made:
+    @staticmethod
+    def of(ranks: dict[bytes, int]) -> Vocabulary:
+        if len(ranks) > MOST:
+            raise ValueError(f"a vocabulary of {len(ranks)} tokens; at most {MOST} are broadcast")
+        h = hashlib.blake2b()
+        for t, i in sorted(ranks.items()):
+            h.update(len(t).to_bytes(4, "little") + t + i.to_bytes(8, "little"))
+        return Vocabulary(ranks, h.hexdigest())
+
+
+_made: dict[str, Bpe] = {}
+
+
+def coder(vocabulary: Vocabulary) -> Bpe:
+    """The coder of a vocabulary, made once a worker."""
+    if vocabulary.digest not in _made:
         _made.clear()
-        _made[key] = Bpe(ranks)
-    return _made[key]
+        _made[vocabulary.digest] = Bpe(vocabulary.ranks)
+    return _made[vocabulary.digest]
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, n_tokens, exact) of every row: the ids of the whole text, and whether decoding them gives it back.
 
     A null text has null ids and n_tokens and is exact; an empty one has an empty list.  A null doc_id stays null; repeated
-    rows are encoded alike; other columns are ignored.  The vocabulary is read by the driver and broadcast.
+    rows are encoded alike; other columns are ignored.  ``vocabulary`` is a file of lines "base64 rank", read by the driver and
+    broadcast.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read(vocabulary))
+    ranks = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(read(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lepidus.llm import bpe as here  # the module's own memory, not a pickled copy
 
-        coder = here._bpe(ranks.value)
+        own = here.coder(ranks.value)
         for b, data, at in _text.slices(batches, "text"):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            got = [coder.encode(t) if t else np.zeros(0, np.int32) for t in texts]
+            got = [own.encode(t) if t else np.zeros(0, np.int32) for t in texts]
             n = np.array([len(g) for g in got], np.int64)
             ids = np.concatenate(got)
-            back, size = coder.decode(ids)
+            back, size = own.decode(ids)
             if len(back) == len(data) and np.array_equal(back, data):
                 ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
                 exact = np.diff(ends) == np.diff(at)
@@ -203,14 +224,14 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of (doc_id, ids): the inverse of encode().  Null ids give a null text; bytes that aren't UTF-8, as a cut list of ids may end with, are replaced."""
-    ranks = tokens.sparkSession.sparkContext.broadcast(read(vocabulary))
+    ranks = tokens.sparkSession.sparkContext.broadcast(Vocabulary.of(read(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lepidus.llm import bpe as here
 
-        coder = here._bpe(ranks.value)
+        own = here.coder(ranks.value)
         for b in batches:
-            texts = [None if ids is None else coder.decode(np.array(ids, np.int64))[0].tobytes().decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
+            texts = [None if ids is None else own.decode(np.array(ids, np.int64))[0].tobytes().decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -79,40 +79,37 @@ def sparse(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int) -> l
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, at_most: int, salt: int = 0) -> DataFrame:
-    """(id, text, y) of at most ``at_most`` labelled rows: those lowest by a hash of the id, so a pure function of the ids.
+    """(id, text, y) of at most ``at_most`` labelled documents: those lowest by a hash of the id, so a pure function of the ids.
 
-    A doc_id with several labels counts once, with the greatest; null ids and null labels don't count.  The label side is
-    bounded by ``at_most``, which is why it alone may be broadcast.
+    A doc_id with several labels counts once, with the greatest; null ids and null labels don't count.  A doc_id with several
+    rows counts once, with the text of the lowest hash.  The label side is bounded by ``at_most``, which is why it alone may
+    be broadcast.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(at_most).select(F.col("doc_id").alias("id"), "y")
-    return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "id")
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "id")
+    return rows.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "text", "y")
 
 
 def train(rows: DataFrame, featurize: Featurizer, model: Ftrl, epochs: int = 3, twins: Callable[[str], list[str]] | None = None, pull: float = 0.0, empty: float = 0.0) -> np.ndarray:
-    """Weights of a model fitted to ``rows`` (id, text, y).  No rows give weights of 0 and ``empty`` as the bias.
+    """Weights of a model fitted to ``rows`` (id, text, y), ids distinct.  No rows give weights of 0 and ``empty`` as the bias.
 
-    Rows are taken in the order of a hash of their features' ids, so the result doesn't depend on partitioning.
+    Rows are taken in the order of a hash of their ids, so the result doesn't depend on partitioning.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                all_ = [text, *(twins(text) if twins else [])]
-                out = []
-                for t in all_:
-                    raw = np.frombuffer(t.encode(), np.uint8)
-                    _, f, v = featurize(raw, np.array([0, len(raw)]))
-                    out.append((f, v))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "id": pa.array([i], pa.int64()),
-                        "y": pa.array([y], pa.int32()),
-                        "sizes": pa.array([[len(f) for f, _ in out]], pa.list_(pa.int32())),
-                        "f": pa.array([np.concatenate([f for f, _ in out]).astype(np.int32)], pa.list_(pa.int32())),
-                        "v": pa.array([np.concatenate([v for _, v in out]).astype(np.float32)], pa.list_(pa.float32())),
-                    }
-                )
+        for b, _, _ in _text.slices(batches, "text", rows=1024):
+            texts, count = [], []
+            for t in b.column(1).to_pylist():
+                more = twins(t) if twins else []
+                texts += [t, *more]
+                count.append(1 + len(more))
+            data, at = _text.utf8(pa.array(texts, pa.large_string()))
+            owner, f, v = featurize(data, at)
+            each = np.diff(np.searchsorted(owner, np.arange(len(texts) + 1)))
+            cut = np.concatenate([[0], np.cumsum(count)])
+            sizes = np.add.reduceat(each, cut[:-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _text.lists(each, np.array(count), pa.int32()), _text.lists(f, sizes, pa.int32()), _text.lists(v, sizes, pa.float32())], names=["id", "y", "sizes", "f", "v"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = []

@@ -1,10 +1,13 @@
 """Operator 9: license scans with a positional rare-token index.
 
-The index holds, for each license template, its ``RARE`` words of the highest inverse document frequency over the whole table,
-posted as (word, template, position).  A file's words that the index knows are looked up; postings are intersected by
-relative position (file's position less template's), and an alignment on which at least two rare words agree (one, if the
-template has but one) is a candidate.  A candidate is a match if enough of the template's words stand at their places and
-every mandatory phrase stands, word for word, within the aligned stretch give or take ``SLACK`` words.
+A license template is matched where its mandatory phrases all stand word for word and enough of its words (``COVER``) stand
+in order, give or take words put in or left out, within a stretch of the template's length and a slack on either side.
+
+The index holds, of each template's phrases, the one whose words are rarest over the whole table, and of that the ``RARE`` words
+of the highest inverse document frequency, posted as (word, template, position).  A file's words that the index knows are
+looked up and postings intersected by relative position (file's position less phrase's).  As a match must hold the phrase,
+an alignment must have all its rare words: the index loses none.  Candidates are then verified: the other phrases, and the
+longest common subsequence of template and stretch, found in bit-parallel form.
 """
 
 from __future__ import annotations
@@ -17,36 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lepidus.llm import _text
+from lepidus.llm.templates import TEMPLATES
 
 RARE = 4
-SLACK = 2
 COVER = 0.7
-#: (license, template text, mandatory phrases)
-TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("MIT", "Released under the MIT License", ("MIT License",)),
-    ("MIT", "Licensed under the MIT License", ("MIT License",)),
-    ("MIT", "free of charge, to any person obtaining a copy of this software", ("free of charge", "any person obtaining a copy")),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ("Apache License Version 2 0",)),
-    ("Apache-2.0", "use this file except in compliance with the License", ("file except in compliance with the License",)),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ("GNU General Public License version 3",)),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", ("GNU General Public License version 2",)),
-    ("GPL-3.0-or-later", "Free Software Foundation, either version 3 of the License, or any later version", ("Free Software Foundation", "either version 3", "any later version")),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3", ("GNU Lesser General Public License version 3",)),
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3", ("GNU Affero General Public License version 3",)),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification", ("Redistribution and use in source and binary forms",)),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License", ("BSD 3 Clause License",)),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License", ("BSD 2 Clause License",)),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("Mozilla Public License v 2 0",)),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0", ("CC BY 4 0",)),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", ("CC BY SA 4 0",)),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", ("CC BY NC 4 0",)),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0", ("CC BY ND 4 0",)),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("Creative Commons Attribution 4 0 International License",)),
-    ("CC0-1.0", "possible under law, the author has waived all copyright", ("waived all copyright",)),
-    ("ISC", "distribute this software for any purpose with or without fee", ("with or without fee",)),
-    ("Unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    ("EPL-2.0", "available under the terms of the Eclipse Public License 2.0", ("Eclipse Public License 2 0",)),
-)
+
+
+def slack(length: int) -> int:
+    """Words by which a stretch may be longer than a template of ``length`` words, on either side."""
+    return 2 + length // 5
 
 
 def words(text: str) -> np.ndarray:
@@ -62,22 +44,89 @@ def hashed(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _text.hashes(data, s[word], e[word]), doc[word]
 
 
+def _common(masks: dict[int, int], n: int, stretch: list[int]) -> list[int]:
+    """Longest common subsequence of a template of n words and the first 1, 2, ... words of a stretch."""
+    full, out = (1 << n) - 1, []
+    row = full
+    for w in stretch:
+        m = row & masks.get(w, 0)
+        row = (row + m | row - m) & full
+        out.append(n - row.bit_count())
+    return out
+
+
+def _masks(w: list[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k, x in enumerate(w):
+        out[x] = out.get(x, 0) | 1 << k
+    return out
+
+
+def _starts(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Where the phrase stands in h, word for word."""
+    at = np.arange(len(h) - len(phrase) + 1)
+    for k, w in enumerate(phrase):
+        at = at[h[at + k] == w]
+    return at
+
+
+class Template:
+    """A template's words, its phrases, and where each phrase stands in it (0 where it doesn't)."""
+
+    def __init__(self, name: str, lines: tuple[str, ...], phrases: tuple[str, ...]) -> None:
+        self.name, self.words, self.phrases = name, words(" ".join(lines)), [words(p) for p in phrases]
+        at = [_starts(self.words, p) for p in self.phrases]
+        self.at = [int(a[0]) if len(a) else 0 for a in at]
+        w = self.words.tolist()
+        self.masks, self.back = _masks(w), _masks(w[::-1])
+
+    def key(self, idf: dict[int, float]) -> int:
+        """The number of the phrase with the rarest words."""
+        return max(range(len(self.phrases)), key=lambda k: (max(idf[int(w)] for w in self.phrases[k]), len(self.phrases[k]), -k))
+
+    def match(self, h: np.ndarray, key: int, p: int) -> tuple[int, int, int] | None:
+        """(start, words, words in order) of the match whose phrase ``key`` stands at p of the text h; its outermost words are common ones."""
+        n = len(self.words)
+        lo = max(0, p - self.at[key] - slack(n))
+        part = h[lo : p - self.at[key] + n + slack(n)]
+        if not all(len(_starts(part, x)) for x in self.phrases):
+            return None
+        own = part.tolist()
+        ahead = _common(self.masks, n, own)
+        same = ahead[-1]
+        if same < COVER * n:
+            return None
+        stop = ahead.index(same) + 1
+        start = stop - 1 - _common(self.back, n, own[:stop][::-1]).index(same)
+        return lo + start, stop - start, same
+
+
+def chosen(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of one license's matches (start, words, words in order), those with the most words in order; others that overlap them go."""
+    taken: list[tuple[int, int, int]] = []
+    for a, m, same in sorted(set(found), key=lambda x: (-x[2], x[1], x[0])):
+        if all(a + m <= x or a >= x + y for x, y, _ in taken):
+            taken.append((a, m, same))
+    return sorted(taken)
+
+
 class Index:
     def __init__(self, frequency: dict[int, int], n_docs: int, templates: tuple = TEMPLATES) -> None:
-        self.templates = [(name, words(text), [words(p) for p in phrases]) for name, text, phrases in templates]
+        idf = {w: float(np.log((n_docs + 1) / (n + 1))) for w, n in frequency.items()}
+        self.templates = [Template(*t) for t in templates]
+        self.keys = [t.key(idf) for t in self.templates]
         post = []
-        for t, (_, w, _) in enumerate(self.templates):
-            idf = np.array([np.log((n_docs + 1) / (frequency.get(int(x), 0) + 1)) for x in w])
-            rare = np.unique(w)
-            best = sorted(rare, key=lambda x: (-idf[w == x][0], int(np.flatnonzero(w == x)[0])))[:RARE]
-            post += [(int(w[q]), t, q) for q in range(len(w)) if w[q] in best]
+        for k, t in enumerate(self.templates):
+            w = t.phrases[self.keys[k]]
+            best = sorted(range(len(w)), key=lambda q: (-idf[int(w[q])], q))[:RARE]
+            post += [(int(w[q]), k, q) for q in best]
         post.sort()
         self.word = np.array([p[0] for p in post], np.uint64)
         self.template, self.place = np.array([p[1] for p in post]), np.array([p[2] for p in post])
-        self.need = np.array([min(2, len(set(self.word[self.template == t].tolist()))) for t in range(len(self.templates))])
+        self.need = np.bincount(self.template, minlength=len(self.templates))
 
     def scan(self, h: np.ndarray, doc: np.ndarray, n: int) -> list[tuple[int, str, int, int, int]]:
-        """(text, license, start, words, words in place): the matches; of those of one license that overlap, the one with the most words in place."""
+        """(text, license, start, words, words in order) of the matches."""
         lo = np.searchsorted(self.word, h, side="left")
         known = np.flatnonzero(self.word[np.minimum(lo, len(self.word) - 1)] == h)
         if not len(known):
@@ -86,42 +135,24 @@ class Index:
         k = np.repeat(np.arange(len(known)), count)
         p = lo[k] + np.arange(len(k)) - (np.cumsum(count) - count)[k]
         at = known[k]
-        key = np.stack([doc[at], self.template[p], at - self.place[p]], axis=1)
-        order = np.lexsort((self.word[p], key[:, 2], key[:, 1], key[:, 0]))
-        key, hit = key[order], self.word[p][order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
-        fresh = new | np.concatenate([[True], hit[1:] != hit[:-1]])
-        cut = np.flatnonzero(new)
-        distinct = np.add.reduceat(fresh.astype(np.int64), cut)
+        start = at - self.place[p]
         first = np.searchsorted(doc, np.arange(n + 1))
-        best: dict[tuple[int, str], list[tuple[int, int, int]]] = {}
-        for d, t, start in key[cut][distinct >= self.need[key[cut][:, 1]]].tolist():
-            name, w, phrases = self.templates[t]
-            a, z = max(start, int(first[d])), min(start + len(w), int(first[d + 1]))
-            same = int((h[a:z] == w[a - start : z - start]).sum())
-            if same < COVER * len(w):
-                continue
-            near = h[max(int(first[d]), start - SLACK) : min(start + len(w) + SLACK, int(first[d + 1]))]
-            if all(_within(near, p) for p in phrases):
-                best.setdefault((d, name), []).append((same, a - int(first[d]), z - a))
-        out = []
-        for (d, name), found in best.items():
-            taken: list[tuple[int, int]] = []
-            for same, a, m in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-                if all(a + m <= x or a >= y for x, y in taken):
-                    taken.append((a, a + m))
-                    out.append((d, name, a, m, same))
-        return sorted(out)
-
-
-def _within(h: np.ndarray, phrase: np.ndarray) -> bool:
-    m = len(phrase)
-    return any(np.array_equal(h[k : k + m], phrase) for k in np.flatnonzero(h[: len(h) - m + 1] == phrase[0])) if len(h) >= m else False
+        ok = start >= first[doc[at]]
+        at, p, start = at[ok], p[ok], start[ok]
+        # a template's postings each have a place of their own, so an alignment that has as many hits as postings has all
+        key, hits = np.unique(np.stack([doc[at], self.template[p], start], axis=1), axis=0, return_counts=True)
+        found: dict[tuple[int, str], list[tuple[int, int, int]]] = {}
+        for d, t, s in key[hits == self.need[key[:, 1]]].tolist():
+            one, own = self.templates[t], h[first[d] : first[d + 1]]
+            phrase = one.phrases[self.keys[t]]
+            if np.array_equal(h[s : min(s + len(phrase), first[d + 1])], phrase) and (m := one.match(own, self.keys[t], s - int(first[d]))):
+                found.setdefault((d, one.name), []).append(m)
+        return sorted((d, name, *m) for (d, name), ms in found.items() for m in chosen(ms))
 
 
 def frequencies(docs: DataFrame, templates: tuple = TEMPLATES) -> tuple[dict[int, int], int]:
-    """({hash of a template's word: texts that have it}, texts), counted over every row."""
-    vocabulary = np.unique(np.concatenate([words(t) for _, t, _ in templates]))
+    """({hash of a phrase's word: texts that have it}, texts), counted over every row."""
+    vocabulary = np.unique(np.concatenate([words(p) for _, _, phrases in templates for p in phrases]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(vocabulary), np.int64), 0
@@ -141,10 +172,11 @@ def frequencies(docs: DataFrame, templates: tuple = TEMPLATES) -> tuple[dict[int
 def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     """(doc_id, license, start, n_words, in_place) of every license notice in every text; positions are in words.
 
-    Null and empty texts have none; a null doc_id stays null; repeated rows give repeated matches; other columns are
-    ignored.  Of one license's matches that overlap, the one with the most words in place counts (then the first).
+    ``in_place`` are the template's words that stand there in order.  Null and empty texts have none; a null doc_id stays
+    null; repeated rows give repeated matches; other columns are ignored; an empty table gives no rows.  Of one license's
+    matches that overlap, the one with the most words in order counts (then the shorter, then the first).
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(*frequencies(docs, templates), templates))
+    index = docs.sparkSession.sparkContext.broadcast(Index(*frequencies(docs, templates), templates))  # as large as the templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, at in _text.slices(batches, "text"):
@@ -157,4 +189,5 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice of the documents."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -37,6 +37,29 @@ IDENTITY = (
     ("immigrants", "natives", "refugees", "citizens"),
     ("disabled", "blind", "deaf", "autistic"),
     ("young", "old", "elderly"),
+    # German, French and Spanish
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "hinduisten", "buddhisten", "atheisten", "katholiken"),
+    ("muslimisch", "christlich", "jüdisch", "buddhistisch", "katholisch"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("schwarze", "weiße", "asiaten", "araber", "türken", "deutsche", "russen"),
+    ("ausländer", "einwanderer", "flüchtlinge", "einheimische"),
+    ("behinderte", "blinde", "gehörlose"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("handicapés", "aveugles", "sourds"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos", "latinos"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("discapacitados", "ciegos", "sordos"),
 )
 
 

@@ -30,15 +30,16 @@ _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 SCHEMA = "bundle string, frame int, frame_offset long, frame_size long, raw_size long, data binary, page_ids array<long>, record_ids array<string>, offsets array<long>, lengths array<long>"
 
 
-def record_id(page_id: int | None, url: str | None) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url or ""}')}"
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """The same for the same capture only: pages of one address with other bodies are other records."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url or ""}')}"
 
 
 def record(page_id: int | None, url: str | None, body: str | None, date: str = DATE) -> tuple[str, bytes]:
-    """(identifier, bytes) of one resource record; a page with neither id nor address is named by its digest."""
+    """(identifier, bytes) of one resource record."""
     payload = (body or "").encode()
     digest = hashlib.sha1(payload).hexdigest()
-    name = record_id(page_id, url) if page_id is not None or url is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, digest)}"
+    name = record_id(page_id, url, digest)
     head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
@@ -147,23 +148,33 @@ def index(frames: DataFrame) -> DataFrame:
 
 
 def write(frames: DataFrame, folder: str) -> None:
-    """Bundles as files ``<bundle>.warc.zst`` in a shared folder.  A file appears under its name only when it is whole, so a task that is lost and run again does no harm."""
+    """Bundles as files ``<bundle>.warc.zst`` in a shared folder (a path, or an address of a file system that Arrow knows).
+
+    A file appears under its name only when it is whole, so a task that is lost and run again does no harm.
+    """
+    from pyarrow import fs
+
+    address = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
 
     def save(rows: Iterator) -> None:
+        store, at = fs.FileSystem.from_uri(address)
         out, name, tmp = None, None, None
+
+        def done() -> None:
+            if out:
+                out.close()
+                store.move(tmp, f"{at}/{name}.warc.zst")
+
         for r in rows:
             if r.bundle != name:
-                if out:
-                    out.close()
-                    os.replace(tmp, f"{folder}/{name}.warc.zst")
-                name, tmp = r.bundle, f"{folder}/.{r.bundle}-{uuid.uuid4().hex}"
-                out = open(tmp, "wb")
+                done()
+                name, tmp = r.bundle, f"{at}/.{r.bundle}-{uuid.uuid4().hex}"
+                out = store.open_output_stream(tmp)
             out.write(r.data)
-        if out:
-            out.close()
-            os.replace(tmp, f"{folder}/{name}.warc.zst")
+        done()
 
-    os.makedirs(folder, exist_ok=True)
+    store, at = fs.FileSystem.from_uri(address)
+    store.create_dir(at, recursive=True)
     frames.select("bundle", "frame", "data").repartition("bundle").sortWithinPartitions("bundle", "frame").foreachPartition(save)
 
 

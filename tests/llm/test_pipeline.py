@@ -29,5 +29,33 @@ def test_stages(spark, data, tmp_path):
     assert corpus_pipeline.run(spark, data).count() == n["packing"]
 
 
+def tables(spark, docs, labels, at):
+    docs.write.parquet(f"{at}/documents.parquet")
+    labels.write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_run_takes_hard_rows(spark, hard, clashing, nothing, labels, tmp_path):
+    none = labels.where("false")
+    plain = corpus_pipeline.run(spark, tables(spark, hard, none, tmp_path / "a")).collect()
+    # nothing is labelled, so nothing is rejected; repeated rows are packed each, the long text's own repeats are cut
+    assert sorted({str(r.doc_id) for r in plain}) == ["1", "5", "6", "7", "None"] and sum(r.doc_id == 1 for r in plain) == 2
+    held = sum(r.n_words for r in plain if r.doc_id == 5)
+    assert held == 977 * 31  # the text is periodic: what comes after the first period is a repeat
+    other = corpus_pipeline.run(spark, tables(spark, clashing, none, tmp_path / "b")).collect()
+    place = lambda rows: sorted((str(r.doc_id), r.piece, r.start, r.n_words) for r in rows)
+    assert place(other) == place(plain)
+    assert corpus_pipeline.run(spark, tables(spark, nothing, none, tmp_path / "c")).count() == 0
+    assert corpus_pipeline.run(spark, tables(spark, hard, labels, tmp_path / "d")).count() >= 0
+
+
+def test_run_judges_rows_of_one_id_by_their_texts(spark, labels, tmp_path):
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    p, a, b = words("p", 60), words("a", 70), words("b", 90)
+    docs = spark.createDataFrame([(1, p), (2, f"{a} {p}"), (2, b), (3, b)], "doc_id long, text string")
+    got = corpus_pipeline.run(spark, tables(spark, docs, labels.where("false"), tmp_path / "e")).collect()
+    assert sorted((r.doc_id, r.n_words) for r in got) == [(1, 60), (2, 70), (2, 90)]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in entries.queries()) == list(range(1, 11))
