@@ -1,4 +1,10 @@
-"""The corpus pipeline: what is kept of ``documents``, stage by stage, each written as Parquet and read again by the next."""
+"""The corpus pipeline: what is kept of ``documents``, stage by stage, each written as Parquet and read again by the next.
+
+Rows that an operator can't judge go on as they are: a null doc_id is in no group of copies and repeats nothing, a null or empty
+text has no features, no fingerprint and no passage, and isn't packed.  Rows that share a doc_id are judged each by its own
+text; repeated rows (id and text alike) go or stay together.  Very long texts are one row throughout; packing cuts them into
+pieces.  Other columns are carried along, whatever their names, up to the last stage.  An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lepidus.llm import packing, quality, simhash, suffix, toxicity
-from lepidus.llm.shared import folder
+from lepidus.operators.lineage import folder
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +34,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_id, pack_offset, doc_id, piece, start, n_words) of what all stages keep of ``documents``.  Every stage's table stays in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{folder(spark)}/lepidus-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
