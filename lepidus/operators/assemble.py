@@ -46,9 +46,18 @@ def grid(images: DataFrame, questions: DataFrame, temperatures: Sequence[float],
     return images.crossJoin(F.broadcast(questions)).crossJoin(F.broadcast(runs))  # lists of questions and settings
 
 
+def _parts(names: DataFrame, name: str, others: DataFrame, other: str) -> DataFrame:
+    """(name, other): every name with the others that it contains.  Its substrings of the lengths that others have are looked up, so names meet by key."""
+    lengths = others.agg(F.collect_set(F.length(other)).alias("_l"))  # lengths of names are few
+    n = names.crossJoin(F.broadcast(lengths)).select(name, F.explode("_l").alias("_k")).where((F.col("_k") > 0) & (F.col("_k") <= F.length(name)))
+    each = n.select(name, F.explode(F.expr(f"transform(sequence(1, length(`{name}`) - _k + 1), i -> substring(`{name}`, i, _k))")).alias(other))
+    return each.distinct().join(others, other).select(name, other)
+
+
 def unique_containment(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of ``left`` with the only row of ``right`` whose name equals, contains or is contained in theirs; several or none give null."""
-    j = left.select(a).distinct().join(right.select(b).distinct(), F.contains(F.col(a), F.col(b)) | F.contains(F.col(b), F.col(a)))
+    l_, r = left.select(a).where(F.col(a).isNotNull()).distinct(), right.select(b).where(F.col(b).isNotNull()).distinct()
+    j = _parts(l_, a, r, b).select(a, b).unionByName(_parts(r, b, l_, a).select(a, b)).distinct()
     one = j.groupBy(a).agg(F.count("*").alias("_n"), F.min(b).alias(b)).where("_n = 1").drop("_n")
     return left.join(one, a, "left")
 
@@ -66,10 +75,16 @@ def zipped(names: DataFrame, descriptions: DataFrame, model: str = "model") -> D
     return descriptions.join(fit, model, "left_semi").join(names, "pos").select(model, "pos", "name", "line")
 
 
-def first_by_prefix(names: DataFrame, files: DataFrame, name: str, file: str, length: int) -> DataFrame:
-    """Each name with the first file, by name, that starts with it; names have at least ``length`` signs, which key the join."""
-    j = names.withColumn("_k", F.substring(name, 1, length)).join(files.withColumn("_k", F.substring(file, 1, length)), "_k").where(F.startswith(F.col(file), F.col(name)))
-    return j.groupBy(name).agg(F.min(file).alias(file))
+def first_by_prefix(names: DataFrame, files: DataFrame, name: str, file: str, path: str | None = None) -> DataFrame:
+    """Each name with the first file, by name (or by ``path``, which is then given), that starts with it; names without a file are left out.
+
+    The least file of every prefix, of the lengths that names have, is an aggregate with partial sums; names then meet it by key.
+    """
+    path = path or file
+    lengths = names.agg(F.collect_set(F.length(name)).alias("_l"))  # lengths of names are few
+    each = files.crossJoin(F.broadcast(lengths)).select(F.col(file).alias("_f"), F.col(path).alias(path), F.explode("_l").alias("_k")).where(F.col("_k") <= F.length("_f"))
+    first = each.groupBy(F.expr("substring(_f, 1, _k)").alias(name)).agg(F.min(path).alias(path))
+    return names.join(first, name)
 
 
 def answer_map(rows: DataFrame, by: Sequence[str], index: str, question: str, answer: str) -> DataFrame:

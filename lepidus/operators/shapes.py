@@ -29,6 +29,13 @@ def from_array(df: DataFrame, id_: str, values: str) -> DataFrame:
     return df.where(F.size(values) > 1).select(F.col(id_).alias("shape_id"), F.explode(each).alias("p")).select("shape_id", "p.i", "p.x", "p.y")
 
 
+def by_angle(points: DataFrame) -> DataFrame:
+    """Points renumbered by their angle around their shape's middle, ties by their number."""
+    mid = points.withColumn("mx", F.avg("x").over(whole())).withColumn("my", F.avg("y").over(whole()))
+    turn = F.atan2(F.col("y") - F.col("my"), F.col("x") - F.col("mx"))
+    return mid.withColumn("i", (F.row_number().over(Window.partitionBy("shape_id").orderBy(turn, "i")) - 1).cast("int")).select("shape_id", "i", "x", "y")
+
+
 def arc_length(points: DataFrame, closed: bool = True) -> DataFrame:
     """Points with ``step`` to the next (a closed ring's last to its first) and ``cum``, the length before them."""
     nx, ny = F.lead("x").over(ring()), F.lead("y").over(ring())

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,19 +164,42 @@ def stemmed(docs: DataFrame, tokens: str, out: str = "stems") -> DataFrame:
 
 
 def batches(items: DataFrame, group: str, order: str, size: str, budget: int, overhead: int = 0) -> DataFrame:
-    """Items with ``batch``: a batch closes when what it holds, the item and the overhead pass the budget.  A sum with resets is a fold over each group's items in order."""
-    each = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("_items"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["held"] > 0) & (acc["held"] + x["s"] + overhead > budget)
-        batch = F.when(over, acc["batch"] + 1).otherwise(acc["batch"])
-        held = F.when(over, x["s"]).otherwise(acc["held"] + x["s"])
-        return F.struct(batch.alias("batch"), held.alias("held"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), batch.alias("b")))).alias("out"))
-
-    kind = items.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("held"), F.array().cast(f"array<struct<o:{kind},b:int>>").alias("out"))
-    done = each.select(group, F.explode(F.aggregate("_items", start, step, lambda a: a["out"])).alias("x"))
-    return done.select(group, F.col("x.o").alias(order), F.col("x.b").alias("batch"))
+    """Items with ``batch``: a batch closes when what it holds, the item and the overhead pass the budget; null sizes count as 0.
+
+    Where a batch closes depends on where it began, so a group is one sequence: sorted by Spark, which may spill, and walked
+    through batch by batch with sums and binary search.  A task holds one Arrow batch at a time, whatever the group's size.
+    """
+    rows = items.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, held = None, 0, 0
+        for f in frames:
+            if not f.num_rows:
+                continue
+            codes = pc.dictionary_encode(f.column(0), null_encoding="encode")
+            code = codes.indices.to_numpy()
+            sums = np.concatenate([[0], np.cumsum(f.column(2).to_numpy())])
+            out = np.empty(f.num_rows, np.int32)
+            edge = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [f.num_rows]])
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if (name := (codes.dictionary[int(code[a])].as_py(),)) != last:
+                    last, number, held = name, 0, 0
+                while a < z:
+                    some = a if held > 0 else int(np.searchsorted(sums, sums[a] - held, side="right"))  # from here on something is held
+                    full = int(np.searchsorted(sums[1:], budget - overhead - held + sums[a], side="right"))
+                    stop = max(a, some, full)
+                    if stop >= z:
+                        out[a:z] = number
+                        held += int(sums[z] - sums[a])
+                        break
+                    out[a:stop] = number
+                    number, held, a = number + 1, int(sums[stop + 1] - sums[stop]), stop + 1
+                    out[stop] = number
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(out)], names=["g", "o", "batch"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    done = rows.repartition("g").sortWithinPartitions("g", "o").mapInArrow(run, f"g {kinds['g']}, o {kinds['o']}, batch int")
+    return done.select(F.col("g").alias(group), F.col("o").alias(order), "batch")
 
 
 def state_lines(texts: DataFrame, key: str, text: str, markers: str) -> DataFrame:

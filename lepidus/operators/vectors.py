@@ -98,28 +98,57 @@ def dbscan(points: DataFrame, id_: str, coordinates: list[str], eps: float = 0.5
 
 
 def linkage(x: np.ndarray, way: str = "ward") -> list[tuple[int, int, float, int]]:
-    """Merges (a, b, height, size) by Lance-Williams updates, for Ward or average linkage; ties go to the lower pair."""
+    """Merges (a, b, height, size) for Ward or average linkage, lowest first; ties go to the lower pair.
+
+    Chains of nearest neighbours are followed until two are each other's nearest, and these are merged: distances are
+    computed when they are asked for, so memory is that of the points.  Ward's needs but centres and sizes, average
+    linkage sums over the members of one cluster.
+    """
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
-    d = d if way == "ward" else np.sqrt(d)
-    np.fill_diagonal(d, np.inf)
-    size, name, live, out = np.ones(n), list(range(n)), np.ones(n, bool), []
-    for step in range(n - 1):
-        i, j = np.unravel_index(int(np.argmin(d)), d.shape)
-        i, j = min(i, j), max(i, j)
-        h, si, sj = d[i, j], size[i], size[j]
-        out.append((name[i], name[j], float(np.sqrt(h) if way == "ward" else h), int(si + sj)))
+    label, size, centre = np.arange(n), np.ones(n), x.astype(float).copy()
+    members, live, chain, out = [np.array([k]) for k in range(n)], np.ones(n, bool), [], []
+
+    def far(c: int) -> np.ndarray:
         if way == "ward":
-            new = ((si + size) * d[i] + (sj + size) * d[j] - size * h) / (si + sj + size)
+            d = 2 * size[c] * size / (size[c] + size) * ((centre - centre[c]) ** 2).sum(axis=1)
         else:
-            new = (si * d[i] + sj * d[j]) / (si + sj)
-        live[j] = False
-        new[~live] = np.inf
-        new[i] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        size[i], name[i] = si + sj, n + step
-    return out
+            d = np.zeros(n)
+            for m in members[c]:
+                d += np.bincount(label, np.sqrt(((x - x[m]) ** 2).sum(axis=1)), n)
+            d /= size[c] * size
+        return np.where(live, d, np.inf)
+
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(live)[0]))
+        while True:
+            c = chain[-1]
+            d = far(c)
+            d[c] = np.inf
+            near = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[near]:
+                break
+            chain.append(near)
+        a, z = sorted((chain.pop(), chain.pop()))
+        out.append((float(np.sqrt(d[z if c == a else a])) if way == "ward" else float(d[z if c == a else a]), int(members[a][0]), int(members[z][0])))
+        centre[a] = (size[a] * centre[a] + size[z] * centre[z]) / (size[a] + size[z])
+        size[a] += size[z]
+        label[members[z]] = a
+        members[a], members[z], live[z] = np.concatenate([members[a], members[z]]), members[z][:1], False
+    # in order of height, clusters are named by their merge
+    merges, parent, name, count = [], list(range(n)), list(range(n)), [1] * n
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for step, (h, a, z) in enumerate(sorted(out)):
+        a, z = sorted((root(a), root(z)))
+        merges.append((*sorted((name[a], name[z])), h, count[a] + count[z]))
+        parent[z], name[a], count[a] = a, n + step, count[a] + count[z]
+    return merges
 
 
 def flat(merges: list[tuple[int, int, float, int]], n: int, k: int | None = None, height: float | None = None) -> np.ndarray:
@@ -138,12 +167,10 @@ def flat(merges: list[tuple[int, int, float, int]], n: int, k: int | None = None
     return np.array([names.setdefault(root(v), len(names)) for v in range(n)], np.int32)
 
 
-def hierarchical(rows: DataFrame, group: str, id_: str, features: list[str], k: int = 3, way: str = "ward", height: float | None = None, most: int = 5000) -> DataFrame:
-    """(group, id, cluster) of each group on its own.  Distances are quadratic in a group's rows, so a group of more than ``most`` is an error rather than a guess."""
+def hierarchical(rows: DataFrame, group: str, id_: str, features: list[str], k: int = 3, way: str = "ward", height: float | None = None) -> DataFrame:
+    """(group, id, cluster) of each group on its own.  A group is one task, whose time is quadratic in its rows (for average linkage more) and whose memory is linear."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group has {len(pdf)} rows; hierarchical clustering takes {most}")
         pdf = pdf.sort_values(id_)
         n = len(pdf)
         labels = np.zeros(n, np.int32) if n == 1 else flat(linkage(pdf[features].to_numpy(float), way), n, None if height is not None else min(k, n), height)
@@ -151,3 +178,21 @@ def hierarchical(rows: DataFrame, group: str, id_: str, features: list[str], k:
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.select(group, id_, *features).na.drop().groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{id_}` {kinds[id_]}, cluster int")
+
+
+def dominant(clusters: DataFrame, group: str, weight: str | None = None) -> DataFrame:
+    """(group, cluster, n): each group's largest cluster, ties to the lower number."""
+    n = clusters.groupBy(group, "cluster").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    return n.groupBy(group).agg(F.max_by(F.struct("cluster", "n"), F.struct("n", -F.col("cluster"))).alias("b")).select(group, "b.cluster", "b.n")
+
+
+def sweep(rows: DataFrame, group: str, id_: str, features: list[str], heights: list[float], way: str = "average") -> DataFrame:
+    """(group, height, clusters): how many clusters each group has when cut at each of ``heights``; merges are made once."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_)
+        merged = np.array([m[2] for m in linkage(pdf[features].to_numpy(float), way)])
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(heights), "height": heights, "clusters": [len(pdf) - int((merged <= h).sum()) for h in heights]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(group, id_, *features).na.drop().groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, height double, clusters int")

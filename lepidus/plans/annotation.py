@@ -205,9 +205,9 @@ def _(t: Tables) -> DataFrame:
     return coco.named(annotations(t), categories(t).where("id % 7 <> 0")).groupBy("category_name").agg(F.count("*").alias("n"))
 
 
-@query("j02_image_annotations", f"WITH {IMG}, {ANN} SELECT id, specimen, num, category_id, qty FROM images JOIN ann ON id = image_id WHERE specimen < 100")
+@query("j02_image_annotations", f"WITH {IMG}, {ANN} SELECT id, specimen, num, category_id, qty FROM images JOIN ann ON id = image_id")
 def _(t: Tables) -> DataFrame:
-    return images(t).where("specimen < 100").join(annotations(t), F.col("id") == F.col("image_id")).select("id", "specimen", "num", "category_id", "qty")
+    return images(t).join(annotations(t), F.col("id") == F.col("image_id")).select("id", "specimen", "num", "category_id", "qty")
 
 
 for _name, _missing in (("unassigned", "Unassigned"), ("unknown", "Unknown"), ("dropped", None)):

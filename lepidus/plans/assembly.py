@@ -11,9 +11,9 @@ from lepidus.sources import readers, writers
 from lepidus.streaming import ingest
 
 
-@query("s03_label_table", "WITH l AS (SELECT p_size AS id, trim(' ' || p_brand || ' ') AS name FROM part WHERE p_partkey < 40 AND p_size <> 0) SELECT id, name FROM l UNION ALL SELECT m + k, name FROM (SELECT max(id) AS m FROM l), (VALUES (1, 'Trash'), (2, 'Custom')) d(k, name)")
+@query("s03_label_table", "WITH l AS (SELECT p_size AS id, trim(' ' || p_brand || ' ') AS name FROM part WHERE p_size <> 0) SELECT id, name FROM l UNION ALL SELECT m + k, name FROM (SELECT max(id) AS m FROM l), (VALUES (1, 'Trash'), (2, 'Custom')) d(k, name)")
 def _(t: Tables) -> DataFrame:
-    l_ = t.part.where("p_partkey < 40").select(F.col("p_size").alias("id"), F.concat(F.lit(" "), "p_brand", F.lit(" ")).alias("name"), F.col("p_type").alias("supercategory"))
+    l_ = t.part.select(F.col("p_size").alias("id"), F.concat(F.lit(" "), "p_brand", F.lit(" ")).alias("name"), F.col("p_type").alias("supercategory"))
     return readers.with_default_labels(l_).select("id", "name")
 
 
@@ -76,9 +76,9 @@ def _(t: Tables) -> DataFrame:
     return p.select("page_id", F.trim(F.substring_index("html", "<article>", -1)).alias("tail"))
 
 
-@query("k04_formatted_statistics", "SELECT l_suppkey, coalesce(printf('%.2f', avg(nullif(l_discount, 0))), 'NaN') AS mean FROM lineitem WHERE l_partkey < 300 GROUP BY 1")
+@query("k04_formatted_statistics", "SELECT l_suppkey, coalesce(printf('%.2f', avg(nullif(l_discount, 0))), 'NaN') AS mean FROM lineitem GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    g = t.lineitem.where("l_partkey < 300").groupBy("l_suppkey").agg(F.avg(F.nullif("l_discount", F.lit(0.0))).alias("mean"))
+    g = t.lineitem.groupBy("l_suppkey").agg(F.avg(F.nullif("l_discount", F.lit(0.0))).alias("mean"))
     return writers.group_statistics(g, ["mean"])
 
 
@@ -118,28 +118,28 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "j11_zipped",
-    "WITH n AS (SELECT n_nationkey AS pos, n_name AS name FROM nation WHERE n_nationkey < 20), d AS (SELECT l_returnflag AS model, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1)::INT AS pos, l_partkey AS line FROM lineitem QUALIFY pos < CASE l_returnflag WHEN 'A' THEN 19 ELSE 20 END) SELECT model, pos, name, line FROM d JOIN n USING (pos) WHERE model <> 'A'",
+    """WITH n AS (SELECT row_number() OVER (ORDER BY p_partkey) AS pos, p_name AS name FROM part), d AS (SELECT 'm' || k AS model, row_number() OVER (PARTITION BY k ORDER BY p_partkey) AS pos, p_brand || k AS line FROM part, range(3) r(k) WHERE k < 2 OR p_partkey % 10 <> 0)
+ SELECT model, pos, name, line FROM d JOIN n USING (pos) WHERE model <> 'm2'""",
 )
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
+    block = F.floor(F.col("p_partkey") / 512)
+    names = coco.numbered(t.part.select("p_partkey", F.col("p_name").alias("name")), ["p_partkey"], block, "pos").select("pos", "name")
+    each = lambda k, p: coco.numbered(p.select("p_partkey", F.concat("p_brand", F.lit(str(k))).alias("line")), ["p_partkey"], block, "pos").select(F.lit(f"m{k}").alias("model"), "pos", "line")
+    # the third model has fewer lines than there are names
+    return assemble.zipped(names, each(0, t.part).unionByName(each(1, t.part)).unionByName(each(2, t.part.where("p_partkey % 10 <> 0"))))
 
-    names = t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"))
-    w = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    d = t.lineitem.withColumn("pos", F.row_number().over(w) - 1).where("pos < case l_returnflag when 'A' then 19 else 20 end")
-    return assemble.zipped(names, d.select(F.col("l_returnflag").alias("model"), "pos", F.col("l_partkey").alias("line")))
 
-
-@query("j12_first_by_prefix", "SELECT 'img_' || k AS name, min('img_' || o_orderkey || '.jpg') AS file FROM orders JOIN range(1, 100) r(k) ON ('img_' || o_orderkey || '.jpg').starts_with('img_' || k) GROUP BY ALL")
+@query("j12_first_by_prefix", "SELECT 'img_' || c_custkey AS name, min('img_' || o_orderkey || '.jpg') AS file FROM orders JOIN customer ON ('img_' || o_orderkey || '.jpg').starts_with('img_' || c_custkey) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    names = t.spark.range(1, 100).select(F.concat(F.lit("img_"), "id").alias("name"))
+    names = t.customer.select(F.concat(F.lit("img_"), "c_custkey").alias("name"))
     files = t.orders.select(F.concat(F.lit("img_"), "o_orderkey", F.lit(".jpg")).alias("file"))
-    return assemble.first_by_prefix(names, files, "name", "file", 5)
+    return assemble.first_by_prefix(names, files, "name", "file")
 
 
-@query("j16_grid", "SELECT o_orderkey AS image, item_id AS question_index, temperature, replicate, replicate + 6 AS seed FROM orders, benchmark, (VALUES (0.0::DOUBLE), (0.7)) t(temperature), (VALUES (1), (2)) r(replicate) WHERE o_orderkey < 50 AND item_id < 5")
+@query("j16_grid", "SELECT s_suppkey AS image, item_id AS question_index, temperature, replicate, replicate + 6 AS seed FROM supplier, benchmark, (VALUES (0.0::DOUBLE), (0.7)) t(temperature), (VALUES (1), (2)) r(replicate)")
 def _(t: Tables) -> DataFrame:
-    images = t.orders.where("o_orderkey < 50").select(F.col("o_orderkey").alias("image"))
-    return assemble.grid(images, t.benchmark.where("item_id < 5").select(F.col("item_id").alias("question_index")), [0.0, 0.7], 2, 7)
+    images = t.supplier.select(F.col("s_suppkey").alias("image"))
+    return assemble.grid(images, t.benchmark.select(F.col("item_id").alias("question_index")), [0.0, 0.7], 2, 7)
 
 
 def _records(t: Tables) -> DataFrame:
@@ -229,11 +229,12 @@ def _(t: Tables) -> DataFrame:
     return ingest.sessions(t.events, "ts", "user_id").select("user_id", "start", "n")
 
 
-@query("k01_coco_document", "SELECT count(*) AS images, (SELECT count(*) FROM lineitem WHERE l_orderkey < 100) AS annotations FROM orders WHERE o_orderkey < 100")
+@query("k01_coco_document", "SELECT count(*) AS images, (SELECT count(*) FROM lineitem) AS annotations, (SELECT count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)) AS categories FROM orders")
 def _(t: Tables) -> DataFrame:
     from lepidus.plans.views import annotations, categories, images
 
-    few = annotations(t).where("image_id < 100").select(F.xxhash64("image_id", "num", "category_id", "price").alias("id"), "image_id", "category_id")
-    doc = writers.coco_document(images(t).where("id < 100"), few, coco.known(categories(t).withColumn("k", F.col("id")), few, "k", "category_id").drop("k"))
-    size = lambda name: F.size(F.from_json("value", f"{name} array<struct<id: bigint>>")[name]).cast("long")
-    return doc.select(size("images").alias("images"), size("annotations").alias("annotations"))
+    a = annotations(t).select(F.xxhash64("image_id", "num", "category_id", "price").alias("id"), "image_id", "category_id")
+    doc = writers.coco_documents(images(t), a, categories(t), 2000)
+    each = lambda name: F.from_json("value", f"{name} array<struct<id: bigint>>")[name]
+    size = lambda name: F.sum(F.size(each(name))).cast("long").alias(name)
+    return doc.agg(size("images"), size("annotations")).crossJoin(doc.select(F.explode(each("categories")).alias("c")).agg(F.countDistinct("c.id").alias("categories")))  # one row each

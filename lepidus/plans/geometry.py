@@ -24,6 +24,11 @@ def points(t: Tables) -> DataFrame:
     return shapes.from_array(t.embeddings, "vec_id", "embedding")
 
 
+def outlines(t: Tables, scale: float = 40.0) -> DataFrame:
+    """Each shape's points in order of their angle around the middle: a ring that doesn't cross itself."""
+    return shapes.by_angle(points(t)).select("shape_id", "i", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
+
+
 def _r(*names: str, digits: int = 6) -> list:
     return [F.round(n, digits).alias(n) for n in names]
 
@@ -168,9 +173,9 @@ def _(t: Tables) -> DataFrame:
     return d.groupBy("shape_id").agg(F.round(F.try_divide(F.sum(angle * angle), F.pow(F.sum("l"), F.lit(2))), 6).alias("energy"))
 
 
-@query("w13_ordered_keypoints", "SELECT vec_id, list_transform(list_sort(list_transform(range(8), lambda k: {'o': round(embedding[k + 1], 4), 'k': k})), lambda s: s.k) AS sequence FROM embeddings")
+@query("w13_ordered_keypoints", "SELECT vec_id, list_transform(list_sort(list_transform(range(64), lambda k: {'o': round(embedding[k + 1], 4), 'k': k})), lambda s: s.k) AS sequence FROM embeddings")
 def _(t: Tables) -> DataFrame:
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")), lambda k: F.struct(F.round(F.get("embedding", k.cast("int")), 4).alias("o"), k.alias("k")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda k: F.struct(F.round(F.get("embedding", k.cast("int")), 4).alias("o"), k.alias("k")))
     return t.embeddings.select("vec_id", F.transform(F.array_sort(pairs), lambda s: s["k"]).alias("sequence"))
 
 
@@ -221,14 +226,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("g01_rasterised", None)
 def _(t: Tables) -> DataFrame:
-    p = points(t).where("i < 6").select("shape_id", "i", (F.col("x") * 40).alias("x"), (F.col("y") * 40).alias("y"))
-    return shapes.rasterised(p)
+    return shapes.rasterised(outlines(t))
 
 
 @query("g27_thinned", None)
 def _(t: Tables) -> DataFrame:
-    p = points(t).where("i < 6").select("shape_id", "i", (F.col("x") * 40).alias("x"), (F.col("y") * 40).alias("y"))
-    pixels = shapes.rasterised(p).select(F.col("shape_id").alias("mask_id"), "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    pixels = shapes.rasterised(outlines(t)).select(F.col("shape_id").alias("mask_id"), "y", F.explode(F.sequence("x0", "x1")).alias("x"))
     return shapes.thinned(pixels)
 
 

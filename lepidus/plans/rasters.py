@@ -9,14 +9,14 @@ from pyspark.sql.window import Window
 from lepidus.functions import colour as fc
 from lepidus.operators import coco, colours, models, raster, shapes, vectors
 from lepidus.plans import Tables, query
+from lepidus.plans.geometry import outlines
 from lepidus.plans.colour import HIST, PIX, inside, pixels
 from lepidus.plans.views import ANN, CAT, IMG, annotations, categories, images
 from lepidus.sources import readers, writers
 
 
 def _polygons(t: Tables, scale: float = 40.0) -> DataFrame:
-    p = shapes.from_array(t.embeddings, "vec_id", "embedding").where("i < 6")
-    return p.select("shape_id", "i", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
+    return outlines(t, scale)
 
 
 def _masks(t: Tables) -> DataFrame:
@@ -30,7 +30,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("g35_cleaned_masks")
 def _(t: Tables) -> DataFrame:
-    return raster.cleaned(_masks(t), 1)
+    return raster.cleaned(_masks(t), 2)
 
 
 @query("g12_warped")
@@ -133,28 +133,29 @@ def _(t: Tables) -> DataFrame:
     return readers.class_names(doc)
 
 
-@query("s21_official_names", "SELECT 'img_' || o_orderkey || '.jpg' AS file_name FROM orders WHERE o_orderkey < 200")
+@query("s21_official_names", "SELECT 'img_' || o_orderkey || '.jpg' AS file_name FROM orders")
 def _(t: Tables) -> DataFrame:
-    few = images(t).where("id < 200")
-    objects = few.where("id % 2 = 0").agg(F.to_json(F.collect_list(F.struct("file_name"))).alias("value"))
-    plain = few.where("id % 2 = 1").agg(F.to_json(F.collect_list("file_name")).alias("value"))
+    # a list for each specimen, of objects or of strings
+    two = images(t).groupBy("specimen")
+    objects = two.agg(F.to_json(F.collect_list(F.when(F.col("id") % 2 == 0, F.struct("file_name")))).alias("value"))
+    plain = two.agg(F.to_json(F.collect_list(F.when(F.col("id") % 2 == 1, F.col("file_name")))).alias("value"))
     return readers.official_names(objects).unionByName(readers.official_names(plain))
 
 
 @query(
     "s23_mask_files",
-    f"""WITH {IMG}, {CAT}, {ANN}, m AS (SELECT split_part(file_name, '.', 1) || '_mask.png' AS path FROM images WHERE id < 2000), w AS (SELECT DISTINCT file_name, split_part(file_name, '.', 1) AS stem FROM images JOIN ann ON image_id = images.id JOIN categories c ON c.id = category_id WHERE name = 'small ring')
+    f"""WITH {IMG}, {CAT}, {ANN}, m AS (SELECT split_part(file_name, '.', 1) || '_mask.png' AS path FROM images), w AS (SELECT DISTINCT file_name, split_part(file_name, '.', 1) AS stem FROM images JOIN ann ON image_id = images.id JOIN categories c ON c.id = category_id WHERE name = 'small ring')
  SELECT file_name, min(path) AS path FROM w JOIN m ON starts_with(path, stem) GROUP BY 1""",
 )
 def _(t: Tables) -> DataFrame:
     # the first by path: a stem may begin another's, as img_1 does img_10's
-    listing = images(t).where("id < 2000").select(F.concat(F.substring_index("file_name", ".", 1), F.lit("_mask.png")).alias("path"))
+    listing = images(t).select(F.concat(F.substring_index("file_name", ".", 1), F.lit("_mask.png")).alias("path"))
     return readers.mask_files(listing, annotations(t).select("image_id", "category_id"), categories(t), images(t), "small ring").select("file_name", "path")
 
 
-@query("k07_keypoint_rows", f"WITH {ANN} SELECT image_id AS id, k, CASE k WHEN 1 THEN qty ELSE supp::DOUBLE END AS x, num::DOUBLE AS v FROM ann, range(1, 3) r(k) WHERE image_id < 500")
+@query("k07_keypoint_rows", f"WITH {ANN} SELECT image_id AS id, k, CASE k WHEN 1 THEN qty ELSE supp::DOUBLE END AS x, num::DOUBLE AS v FROM ann, range(1, 3) r(k)")
 def _(t: Tables) -> DataFrame:
-    a = annotations(t).where("image_id < 500").select(F.col("image_id").alias("id"), F.array("qty", "qty", F.col("num").cast("double"), F.col("supp").cast("double"), "qty", F.col("num").cast("double")).alias("keypoints"))
+    a = annotations(t).select(F.col("image_id").alias("id"), F.array("qty", "qty", F.col("num").cast("double"), F.col("supp").cast("double"), "qty", F.col("num").cast("double")).alias("keypoints"))
     return writers.keypoint_rows(a).select("id", F.col("k").cast("long").alias("k"), "x", "v")
 
 

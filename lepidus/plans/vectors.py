@@ -68,5 +68,5 @@ def _(t: Tables) -> DataFrame:
 
 @query("g17_ward_clusters")
 def _(t: Tables) -> DataFrame:
-    f = [F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(6)]
-    return vectors.hierarchical(t.embeddings.select("label", "vec_id", *f), "label", "vec_id", [f"f{k}" for k in range(6)])
+    f = [F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(64)]
+    return vectors.hierarchical(t.embeddings.select("label", "vec_id", *f), "label", "vec_id", [f"f{k}" for k in range(64)])

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lepidus.operators.assemble import first_by_prefix
+
 IMAGE = "id string, file_name string, width int, height int, area bigint"
 ANNOTATION = "id bigint, image_id string, category_id bigint, segmentation array<array<double>>, bbox array<double>, area double, iscrowd int, keypoints array<double>, num_keypoints int, point_order array<int>, score double"
 CATEGORY = "id bigint, name string, supercategory string, keypoints array<string>, skeleton array<array<int>>"
@@ -222,13 +224,5 @@ def mask_files(listing: DataFrame, annotations: DataFrame, categories: DataFrame
     """(file_name, path): for each image with an annotation of the category, the first file (by path) whose name starts with the image's stem."""
     wanted = annotations.join(categories.where(F.col("name") == category).select(F.col("id").alias("category_id")), "category_id").select(F.col("image_id").alias("id")).distinct().join(images, "id")
     stem = wanted.select("file_name", F.substring_index("file_name", ".", 1).alias("stem"))
-    return first_by_prefix(stem, listing, "stem").select("file_name", "path")
-
-
-def first_by_prefix(names: DataFrame, listing: DataFrame, name: str) -> DataFrame:
-    """Each name with the first path whose file name starts with it.  The longest common part that both sides have for sure, the first 4 signs, keys the join."""
-    files = listing.select("path", F.element_at(F.split("path", "/"), -1).alias("_f")).withColumn("_k", F.substring("_f", 1, 4))
-    j = names.withColumn("_k", F.substring(name, 1, 4)).join(files, "_k").where(F.col("_f").startswith(F.col(name)))
-    short = names.where(F.length(name) < 4).join(files.drop("_k"), F.col("_f").startswith(F.col(name)))
-    both = j.where(F.length(name) >= 4).drop("_k").unionByName(short)
-    return both.groupBy(*names.columns).agg(F.min("path").alias("path"))
+    files = listing.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return first_by_prefix(stem, files, "stem", "name", "path").select("file_name", "path")

@@ -2,25 +2,64 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def coco_documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, most: int = 10_000) -> DataFrame:
+    """(shard, value): COCO objects as JSON text of about ``most`` images each, with their annotations and the categories these use, lists in order of id.
+
+    Annotations of images that aren't listed are kept, as are categories that no annotation names (in the first object).
+    """
+    shards = max(1, -(-images.count() // most))
+    of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(shards))
+    i, a = images.withColumn("shard", of("id")), annotations.withColumn("shard", of("image_id"))
+    used = a.select("shard", F.col("category_id").alias("id")).distinct()
+    first = categories.join(used.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("shard"))
+    c = used.unionByName(first).join(categories, "id")
+    part = lambda df, name: df.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", *[x for x in df.columns if x not in ("id", "shard")]))).alias(name))
+    all_ = part(i, "images").join(part(a, "annotations"), "shard", "full").join(part(c, "categories"), "shard", "full")
+    return all_.select("shard", F.to_json(F.struct(*[F.coalesce(x, F.array()).alias(x) for x in ("images", "annotations", "categories")])).alias("value"))
+
+
 def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """(value): one COCO object as JSON text, lists in order of id."""
+    """(value): one COCO object as JSON text, lists in order of id; for a set that one reader can hold."""
     part = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct("id", *[c for c in df.columns if c != "id"]))).alias(name))
-    all_ = part(images, "images").crossJoin(part(annotations, "annotations")).crossJoin(part(categories, "categories"))
+    all_ = part(images, "images").crossJoin(part(annotations, "annotations")).crossJoin(part(categories, "categories"))  # one row each
     return all_.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
 
 
-def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
-    """The compact document under path/compact, annotations as JSON lines under path/annotations; the latter scale, the former suits a set that one reader can hold."""
-    coco_document(images, annotations, categories).write.mode("overwrite").text(f"{path}/compact")
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, most: int = 10_000) -> None:
+    """Compact documents under path/compact, one a file, and annotations as JSON lines under path/annotations."""
+    docs = coco_documents(images, annotations, categories, most).repartition("shard")
+    docs.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{path}/compact")
     annotations.write.mode("overwrite").json(f"{path}/annotations")
 
 
+def write_each(rows: DataFrame, folder: str, name: str, content: str) -> None:
+    """A file for each row, named by column ``name``, in a shared folder (a path, or an address of a file system that Arrow knows).  A file appears only when it is whole."""
+    from pyarrow import fs
+
+    address = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
+    address = address.replace("file:///", "file:/").replace("file:/", "file:///")
+
+    def save(part: Iterator) -> None:
+        store, at = fs.FileSystem.from_uri(address)
+        for r in part:
+            tmp = f"{at}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(tmp) as out:
+                out.write(r[1].encode() if isinstance(r[1], str) else bytes(r[1]))
+            store.move(tmp, f"{at}/{r[0]}")
+
+    store, at = fs.FileSystem.from_uri(address)
+    store.create_dir(at, recursive=True)
+    rows.select(name, content).foreachPartition(save)
+
+
 def metrics_csv(df: DataFrame) -> DataFrame:
     """Complex columns as JSON text, so that CSV can hold them."""
     return df.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in df.schema])
