@@ -49,3 +49,16 @@ def bin_index(c0: Column, c1: Column, c2: Column, n: int = 8) -> Column:
 def bin_centre(index: Column, n: int = 8) -> tuple[Column, Column, Column]:
     w = 256.0 / n
     return (F.floor(index / (n * n)) + 0.5) * w, (F.floor(index / n) % n + 0.5) * w, (index % n + 0.5) * w
+
+
+def rgb(l_: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """sRGB in 0..255, cut off at its ends, of CIE L*, a*, b*: the inverse of lab()."""
+    fy = (l_ + 16.0) / 116.0
+    bend = lambda f: F.when(f > 6.0 / 29.0, f * f * f).otherwise((116.0 * f - 16.0) / (24389.0 / 27.0))
+    x, y, z = bend(fy + a / 500.0) * 0.95047, bend(fy), bend(fy - b / 200.0) * 1.08883
+    linear = (3.2404542 * x - 1.5371385 * y - 0.4985314 * z, -0.9692660 * x + 1.8760108 * y + 0.0415560 * z, 0.0556434 * x - 0.2040259 * y + 1.0572252 * z)
+    out = []
+    for v in linear:
+        v = F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+        out.append(255.0 * F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055))
+    return tuple(out)

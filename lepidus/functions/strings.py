@@ -83,3 +83,46 @@ def versioned(c: Column) -> Column:
     base, ext = F.regexp_replace(F.regexp_replace(c, r"\.[^.]*$", ""), r"_V\d+$", ""), F.regexp_extract(c, r"(\.[^.]*)$", 1)
     n = F.coalesce(F.nullif(F.regexp_extract(c, r"_V(\d+)(?:\.[^.]*)?$", 1), F.lit("")).cast("int"), F.lit(0)) + 1
     return F.concat(base, F.lit("_V"), n.cast("string"), ext)
+
+
+def key_features(c: Column) -> Column:
+    """What sets a species apart: the first sentence of its Diagnosis section, else of its QA section, with its full stop; null if it has neither."""
+    first = lambda x: F.when(F.contains(x, F.lit(". ")), F.concat(first_sentence(x), F.lit("."))).otherwise(x)
+    return F.coalesce(first(F.nullif(section(c, "Diagnosis"), F.lit(""))), first(F.nullif(section(c, "QA"), F.lit(""))))
+
+
+def feature_line(name: Column, features: Column) -> Column:
+    """"name: a; b" of an array of features."""
+    return F.concat(name, F.lit(": "), F.array_join(features, "; "))
+
+
+def parsed_features(c: Column) -> Column:
+    """map of name -> features, of lines "name: a; b"."""
+    lines_ = F.filter(F.split(c, "\n"), lambda x: F.contains(x, F.lit(": ")))
+    return F.map_from_entries(F.transform(lines_, lambda x: F.struct(F.substring_index(x, ": ", 1), F.split(F.regexp_replace(x, "^.*?: ", ""), "; "))))
+
+
+def without_keys(c: Column, key: str = "Dichotomous Key:", stop: str = "Species Description for") -> Column:
+    """Text without its old key sections, each of which goes up to ``stop``, which stays, or to the end."""
+    return F.regexp_replace(F.regexp_replace(c, rf"(?s){key}.*?(?={stop}|\z)", ""), r"^\s+|\s+$", "")
+
+
+def with_key(c: Column, key: Column) -> Column:
+    """Text and a new key after it."""
+    ends = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.concat(ends(c), F.lit("\n\n"), ends(key), F.lit("\n"))
+
+
+def listed(c: Column) -> Column:
+    """The items of a comma list, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def floats(c: Column) -> Column:
+    """The numbers of a comma list; null where an item isn't one."""
+    return F.transform(listed(c), lambda x: x.try_cast("double"))
+
+
+def block_species(c: Column) -> Column:
+    """The species that a block's header names, else unknown_species."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_extract(c, r"(?i)species description for\s+\*?([^\n:*]+)", 1)), F.lit("")), F.lit("unknown_species"))

@@ -215,20 +215,49 @@ def warped(points: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame
     return all_.groupBy("shape_id").applyInPandas(run, "shape_id long, k int, x double, y double").where("x is not null and not isnan(x)")
 
 
-def equalised(pixels: DataFrame, channel: str = "v", tiles: int = 8, limit: float = 2.0) -> DataFrame:
-    """``channel`` (0..255) equalised within tiles of each image, histograms clipped at ``limit`` times their mean: pixels (image, y, x, channel).
+def equalised(pixels: DataFrame, channel: str = "v", tiles: int = 8, limit: float = 2.0, blend: bool = False, top: float = 255.0) -> DataFrame:
+    """``channel`` (0..``top``) equalised within tiles of each image, histograms clipped at ``limit`` times their mean: pixels (image, y, x, channel).
 
-    Each tile uses its own map; tiles aren't blended.
+    With ``blend``, a pixel's value is blended from the maps of the four tiles whose middles are around it, by distance; else
+    each tile uses its own map.
     """
     from pyspark.sql.window import Window
 
     size = pixels.groupBy("image").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    t = pixels.join(size, "image").withColumn("_ty", F.floor(F.col("y") * tiles / F.col("_h"))).withColumn("_tx", F.floor(F.col("x") * tiles / F.col("_w"))).withColumn("_v", F.col(channel).cast("int"))
+    t = pixels.join(size, "image").withColumn("_ty", F.floor(F.col("y") * tiles / F.col("_h"))).withColumn("_tx", F.floor(F.col("x") * tiles / F.col("_w"))).withColumn("_v", F.floor(F.col(channel) * (255 / top)).cast("int"))
     tile = ["image", "_ty", "_tx"]
     h = t.groupBy(*tile, "_v").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*tile))
     h = h.withColumn("_c", F.least(F.col("n").cast("double"), limit * total / 256)).withColumn("_t", total)
     spare = (F.col("_t") - F.sum("_c").over(Window.partitionBy(*tile))) / 256
-    below = F.sum("_c").over(Window.partitionBy(*tile).orderBy("_v"))
-    m = h.select(*tile, "_v", F.least(F.lit(255.0), F.round(255.0 * (below + spare * (F.col("_v") + 1)) / F.col("_t"))).alias("_new"))
-    return t.join(m, [*tile, "_v"]).select("image", "y", "x", F.col("_new").alias(channel))
+    steps = Window.partitionBy(*tile).orderBy("_v")
+    m = h.select(*tile, "_v", F.lead("_v").over(steps).alias("_next"), F.sum("_c").over(steps).alias("_below"), spare.alias("_spare"), "_t")
+    new = lambda v: F.least(F.lit(top), F.round(top * (F.col("_below") + F.col("_spare") * (v + 1)) / F.col("_t")))
+    if not blend:
+        return t.join(m.select(*tile, "_v", new(F.col("_v")).alias("_new")), [*tile, "_v"]).select("image", "y", "x", F.col("_new").alias(channel))
+    # a map for every value from one that a tile has to the next; the first also serves what is below it
+    first = F.row_number().over(steps) == 1
+    held = m.withColumn("_from", F.when(first, F.lit(0)).otherwise(F.col("_v"))).withColumn("_to", F.coalesce(F.col("_next") - 1, F.lit(255)))
+    every = held.withColumn("_w", F.explode(F.sequence("_from", "_to"))).withColumn("_below", F.when(F.col("_w") < F.col("_v"), F.lit(0.0)).otherwise(F.col("_below")))
+    maps = every.select(*tile, F.col("_w").alias("_v"), new(F.col("_w")).alias("_new"))
+    # place in tiles, from the middle of the first
+    gy, gx = (F.col("y") + 0.5) * tiles / F.col("_h") - 0.5, (F.col("x") + 0.5) * tiles / F.col("_w") - 0.5
+    side = F.array(F.lit(0), F.lit(1))
+    near = t.withColumn("_gy", gy).withColumn("_gx", gx).withColumn("_dy", F.explode(side)).withColumn("_dx", F.explode(side))
+    share = lambda g, d: F.when(F.col(d) == 1, F.col(g) - F.floor(g)).otherwise(1 - (F.col(g) - F.floor(g)))
+    at = lambda g, d: F.least(F.greatest(F.floor(g) + F.col(d), F.lit(0)), F.lit(tiles - 1))
+    near = near.select("image", "y", "x", "_v", at("_gy", "_dy").alias("_ty"), at("_gx", "_dx").alias("_tx"), (share("_gy", "_dy") * share("_gx", "_dx")).alias("_share"))
+    # a tile without pixels has no map: the shares of those that have count
+    got = near.join(maps, [*tile, "_v"])
+    return got.groupBy("image", "y", "x").agg(F.round(F.sum(F.col("_share") * F.col("_new")) / F.sum("_share")).alias(channel))
+
+
+def lightened(pixels: DataFrame, tiles: int = 8, limit: float = 3.0) -> DataFrame:
+    """(image, y, x, c0, c1, c2): colours whose L of L*a*b is equalised in blended tiles, and which are turned back: pixels (image, y, x, c0, c1, c2)."""
+    from lepidus.functions import colour
+
+    l_, a, b = colour.lab(F.col("c0"), F.col("c1"), F.col("c2"))
+    p = pixels.select("image", "y", "x", l_.alias("l"), a.alias("a"), b.alias("b"))
+    new = equalised(p.select("image", "y", "x", "l"), "l", tiles, limit, True, 100.0).withColumnRenamed("l", "_l")
+    j = p.join(new, ["image", "y", "x"])
+    return j.select("image", "y", "x", *[F.round(c).cast("int").alias(n) for n, c in zip(("c0", "c1", "c2"), colour.rgb(F.col("_l"), F.col("a"), F.col("b")))])

@@ -122,6 +122,32 @@ def best_shift(points: DataFrame, reference: DataFrame, n: int) -> DataFrame:
     return g.withColumn("distance", d).groupBy("shape_id").agg(F.min(F.struct("distance", "shift")).alias("b")).select("shape_id", "b.shift", "b.distance")
 
 
+FLIPS = ((1, 1), (-1, 1), (1, -1), (-1, -1))
+
+
+def best_flip(points: DataFrame, reference: DataFrame, n: int) -> DataFrame:
+    """(shape_id, flip, shift, distance): over the four reflections of FLIPS and all circular shifts, the least distance; ties go to the earlier flip, then the smaller shift.
+
+    A reflection only changes the signs of the four sums of a shift, so it costs no more rows.
+    """
+    turned = F.broadcast(reference.select(F.col("i").alias("ri"), "rx", "ry"))  # one shape
+    j = centred(points).crossJoin(turned).withColumn("shift", F.pmod(F.col("i") - F.col("ri"), F.lit(n)))
+    s = lambda a, b: F.sum(F.col(a) * F.col(b))
+    g = j.groupBy("shape_id", "shift").agg(s("x", "rx").alias("a11"), s("x", "ry").alias("a12"), s("y", "rx").alias("a21"), s("y", "ry").alias("a22"))
+    a = [F.col(c) for c in ("a11", "a12", "a21", "a22")]
+    each = F.array(*[F.struct(F.round(geometry.rotation_distance(x * a[0], x * a[1], y * a[2], y * a[3]), 9).alias("distance"), F.lit(k).alias("flip"), "shift") for k, (x, y) in enumerate(FLIPS)])
+    return g.select("shape_id", F.array_min(each).alias("b")).groupBy("shape_id").agg(F.min("b").alias("b")).select("shape_id", "b.flip", "b.shift", "b.distance")
+
+
+def reindexed(points: DataFrame, reference: DataFrame, n: int) -> DataFrame:
+    """(shape_id, shift, distance): the circular shift at which a shape's points, as they are, lie nearest to the reference's (i, rx, ry), by the sum of distances; ties go to the smaller shift."""
+    ref = F.broadcast(reference.select(F.col("i").alias("ri"), "rx", "ry"))  # one shape
+    j = points.crossJoin(ref).withColumn("shift", F.pmod(F.col("i") - F.col("ri"), F.lit(n)))
+    d = F.sum(F.sqrt((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))))
+    g = j.groupBy("shape_id", "shift").agg(F.round(d, 9).alias("distance"))
+    return g.groupBy("shape_id").agg(F.min(F.struct("distance", "shift")).alias("b")).select("shape_id", "b.shift", "b.distance")
+
+
 def mean_shape(points: DataFrame, most: int = 100, tolerance: float = 1e-5) -> pd.DataFrame:
     """Generalised Procrustes mean (i, x, y): align all to the mean, average, until it moves less than ``tolerance``.
 
@@ -218,38 +244,68 @@ def rasterised(polygons: DataFrame) -> DataFrame:
 
 
 def thinned(masks: DataFrame) -> DataFrame:
-    """(mask_id, skeleton_pixels, mean_width) by Zhang-Suen thinning of (mask_id, y, x) pixels; the width is twice the mean distance of skeleton pixels to the ground."""
+    """(mask_id, skeleton_pixels, mean_width, algorithm, unbranched_pixels) of (mask_id, y, x) pixels.
+
+    A mask is thinned by the rules of Zhang and Suen and by those of Guo and Hall, and the skeleton with more pixels counts
+    (Guo and Hall's, if they are as many).  The width is twice the mean distance of its pixels to the ground;
+    ``unbranched_pixels`` are those left when pixels with more than two neighbours are taken away until there are none.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([_thin(m) for m in pdf.itertuples(index=False)], columns=["mask_id", "skeleton_pixels", "mean_width"])
+            yield pd.DataFrame([_thin(m) for m in pdf.itertuples(index=False)], columns=["mask_id", "skeleton_pixels", "mean_width", "algorithm", "unbranched_pixels"])
 
     packed = masks.groupBy("mask_id").agg(F.collect_list("y").alias("ys"), F.collect_list("x").alias("xs"))
-    return packed.mapInPandas(run, "mask_id long, skeleton_pixels int, mean_width double")
+    return packed.mapInPandas(run, "mask_id long, skeleton_pixels int, mean_width double, algorithm string, unbranched_pixels int")
 
 
-def _thin(m) -> tuple[int, int, float]:
-    ys, xs = np.array(m.ys), np.array(m.xs)
-    a = np.zeros((np.ptp(ys) + 3, np.ptp(xs) + 3), np.uint8)
-    a[ys - ys.min() + 1, xs - xs.min() + 1] = 1
-    depth, inner = np.zeros(a.shape), a.astype(bool)
-    while inner.any():
-        depth += inner
-        p = np.pad(inner, 1)
-        inner = inner & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
-    s, changed = a.copy(), True
+def _around(s: np.ndarray) -> list[np.ndarray]:
+    """The eight neighbours of each pixel, from above, clockwise."""
+    p = np.pad(s, 1)
+    return [p[:-2, 1:-1], p[:-2, 2:], p[1:-1, 2:], p[2:, 2:], p[2:, 1:-1], p[2:, :-2], p[1:-1, :-2], p[:-2, :-2]]
+
+
+def skeleton(a: np.ndarray, rules: str) -> np.ndarray:
+    """bool[h, w] thinned until nothing changes, by the rules "Zhang-Suen" or "Guo-Hall"."""
+    s, changed = a.astype(bool), True
     while changed:
         changed = False
         for half in (0, 1):
-            p = np.pad(s, 1)
-            n = [p[:-2, 1:-1], p[:-2, 2:], p[1:-1, 2:], p[2:, 2:], p[2:, 1:-1], p[2:, :-2], p[1:-1, :-2], p[:-2, :-2]]
-            count = sum(x.astype(int) for x in n)
-            turns = sum(((n[k] == 0) & (n[(k + 1) % 8] == 1)).astype(int) for k in range(8))
-            up, right, down, left = n[0], n[2], n[4], n[6]
-            edge = (up * right * down == 0) & (right * down * left == 0) if not half else (up * right * left == 0) & (up * down * left == 0)
-            gone = (s == 1) & (count >= 2) & (count <= 6) & (turns == 1) & edge
+            n = _around(s)
+            if rules == "Zhang-Suen":
+                count = sum(x.astype(np.int8) for x in n)
+                turns = sum((~n[k] & n[(k + 1) % 8]).astype(np.int8) for k in range(8))
+                up, right, down, left = n[0], n[2], n[4], n[6]
+                edge = ~(up & right & down) & ~(right & down & left) if not half else ~(up & right & left) & ~(up & down & left)
+                gone = s & (count >= 2) & (count <= 6) & (turns == 1) & edge
+            else:
+                turns = sum((~n[k] & (n[k + 1] | n[(k + 2) % 8])).astype(np.int8) for k in (0, 2, 4, 6))
+                one = sum((n[k - 1] | n[k]).astype(np.int8) for k in (0, 2, 4, 6))
+                two = sum((n[k] | n[k + 1]).astype(np.int8) for k in (0, 2, 4, 6))
+                few = np.minimum(one, two)
+                edge = ~((n[4] | n[5] | ~n[7]) & n[6]) if not half else ~((n[0] | n[1] | ~n[3]) & n[2])
+                gone = s & (turns == 1) & (few >= 2) & (few <= 3) & edge
             if gone.any():
-                s[gone] = 0
+                s = s & ~gone
                 changed = True
-    k = int(s.sum())
-    return m.mask_id, k, float(2 * depth[s == 1].mean() - 1) if k else 0.0
+    return s
+
+
+def unbranched(s: np.ndarray) -> np.ndarray:
+    """A skeleton without the pixels that have more than two neighbours, taken away together until there are none."""
+    while True:
+        many = s & (sum(x.astype(np.int8) for x in _around(s)) > 2)
+        if not many.any():
+            return s
+        s = s & ~many
+
+
+def _thin(m) -> tuple[int, int, float, str, int]:
+    ys, xs = np.array(m.ys), np.array(m.xs)
+    a = np.zeros((np.ptp(ys) + 3, np.ptp(xs) + 3), bool)
+    a[ys - ys.min() + 1, xs - xs.min() + 1] = True
+    zhang, guo = skeleton(a, "Zhang-Suen"), skeleton(a, "Guo-Hall")
+    s, name = (zhang, "Zhang-Suen") if zhang.sum() > guo.sum() else (guo, "Guo-Hall")
+    at, ground = np.argwhere(s), np.argwhere(~a & np.logical_or.reduce(_around(a)))
+    width = [np.sqrt(((at[k : k + 256, None] - ground[None]) ** 2).sum(-1).min(1)) for k in range(0, len(at), 256)]
+    return m.mask_id, len(at), float(2 * np.concatenate(width).mean()) if len(at) else 0.0, name, int(unbranched(s).sum())

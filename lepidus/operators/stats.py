@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,8 +67,23 @@ def wilcoxon(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
     return r.groupBy(by).agg(F.count("*").alias("n"), F.least(up, down).alias("w"))
 
 
-def wilcoxon_p(n: int, w: float) -> float:
-    """Two-sided exact p of a rank sum without ties: the share of sign patterns at least as extreme."""
+def wilcoxon_tests(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """wilcoxon() with ``ties``, the sum of t**3 - t over groups of t equal differences, and the two-sided p."""
+    d = pairs.select(by, F.abs(F.col(a) - F.col(b)).alias("m")).where("m <> 0").groupBy(by, "m").agg(F.count("*").alias("t"))
+    ties = d.groupBy(by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+
+    @F.pandas_udf("double")
+    def p(n: pd.Series, w: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon_p(*x) for x in zip(n.tolist(), w.tolist(), t.tolist())], dtype=float)
+
+    return wilcoxon(pairs, by, a, b).join(ties, by).withColumn("p", p("n", "w", "ties"))
+
+
+def wilcoxon_p(n: int, w: float, ties: int = 0) -> float:
+    """Two-sided p of a rank sum: without ties and up to 50 pairs exact, the share of sign patterns at least as extreme; else by the normal distribution, its variance less for ties."""
+    if ties or n > 50:
+        var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+        return float(min(1.0, math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(2 * var)))) if var > 0 else 1.0
     ways = np.zeros(n * (n + 1) // 2 + 1)
     ways[0] = 1
     for k in range(1, n + 1):
@@ -74,3 +91,53 @@ def wilcoxon_p(n: int, w: float) -> float:
     return float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2.0**n))
 
 
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out = d
+    for m in range(1, 500):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + t * d or tiny)
+            c = 1 + t / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """How often an F of d1 and d2 degrees of freedom is greater."""
+    return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+
+
+def manova_tests(m: dict[str, float], features: int) -> list[tuple[str, float, float, float, float, float]]:
+    """(statistic, value, df1, df2, F, p) of manova()'s four statistics, by the usual approximations to F."""
+    p, q, v = features, m["groups"] - 1, m["n"] - m["groups"]
+    s, u = min(p, q), (p * q - 2) / 4
+    out = []
+
+    def add(name: str, value: float, d1: float, d2: float, f: float) -> None:
+        out.append((name, value, d1, d2, f, f_tail(f, d1, d2)))
+
+    t = math.sqrt((p * p * q * q - 4) / (p * p + q * q - 5)) if p * p + q * q > 5 else 1.0
+    d2, root = (v - (p - q + 1) / 2) * t - 2 * u, m["wilks"] ** (1 / t)
+    add("wilks", m["wilks"], p * q, d2, (1 - root) / root * d2 / (p * q))
+    d1, d2 = s * max(p, q), s * (v - p + s)
+    add("pillai", m["pillai"], d1, d2, d2 / d1 * m["pillai"] / (s - m["pillai"]))
+    half, n = (abs(p - q) - 1) / 2, (v - p - 1) / 2
+    if n > 1:
+        b = (p + 2 * n) * (q + 2 * n) / 2 / (2 * n + 1) / (n - 1)
+        d1, d2 = p * q, 4 + (p * q + 2) / (b - 1)
+        add("hotelling", m["hotelling"], d1, d2, d2 / d1 * m["hotelling"] / ((d2 - 2) / 2 / n))
+    else:
+        d1, d2 = s * (2 * half + s + 1), 2 * (s * n + 1)
+        add("hotelling", m["hotelling"], d1, d2, d2 / d1 / s * m["hotelling"])
+    d1 = max(p, q)
+    add("roy", m["roy"], d1, v - d1 + q, (v - d1 + q) / d1 * m["roy"])
+    return out

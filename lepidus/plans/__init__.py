@@ -37,4 +37,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import every module of plans, which registers what they hold."""
-    from lepidus.plans import annotation, assembly, colour, geometry, rasters, statistics, text, vectors  # noqa: F401
+    from lepidus.plans import annotation, assembly, colour, files, geometry, rasters, statistics, text, vectors  # noqa: F401

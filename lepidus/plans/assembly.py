@@ -57,23 +57,15 @@ def _(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("files"))
 
 
-@query("s20_marked_blocks", "SELECT count(*) AS n, sum(length(text)) FILTER (doc_id % 2 = 0)::BIGINT AS even FROM documents")
-def _(t: Tables) -> DataFrame:
-    # two documents to a text, set apart by the mark that species blocks have
-    b = t.documents.select("doc_id", F.posexplode(F.split(F.concat("text", F.lit("\n" + "#" * 80 + "\n"), "text"), "\n#{80}\n")).alias("pos", "block"))
-    return b.where("pos = 0").agg(F.count("*").alias("n"), F.sum(F.when(F.col("doc_id") % 2 == 0, F.length("block"))).alias("even"))
-
-
 @query("s22_existing_files", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     listing = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path"))
     return readers.existing(t.lineitem, listing, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("s24_after_marker", "SELECT page_id, trim(split_part(html, '<article>', 2)) AS tail FROM pages WHERE contains(html, '<article>')")
+@query("s24_after_marker", "SELECT trim(split_part(html, '<article>', 2)) AS tail FROM pages WHERE contains(html, '<article>')")
 def _(t: Tables) -> DataFrame:
-    p = t.pages.where(F.contains("html", F.lit("<article>")))
-    return p.select("page_id", F.trim(F.substring_index("html", "<article>", -1)).alias("tail"))
+    return readers.after_marker(t.pages.select(F.col("html").alias("value")), "<article>")
 
 
 @query("k04_formatted_statistics", "SELECT l_suppkey, coalesce(printf('%.2f', avg(nullif(l_discount, 0))), 'NaN') AS mean FROM lineitem GROUP BY 1")

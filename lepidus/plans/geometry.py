@@ -110,6 +110,26 @@ def _(t: Tables) -> DataFrame:
     return shapes.best_shift(points(t), _reference(t), 32).select("shape_id", "shift", *_r("distance"))
 
 
+@query(
+    "j15_best_flip",
+    f"""WITH {CEN}, s AS (SELECT shape_id, (cen.i - ref.i + 32) % 32 AS shift, sum(x * rx) AS a11, sum(x * ry) AS a12, sum(y * rx) AS a21, sum(y * ry) AS a22 FROM cen, ref GROUP BY ALL),
+ d AS (SELECT shape_id, shift, flip::INT AS flip, round(2 - 2 * sqrt((fx * a11 + fy * a22) ** 2 + (fx * a12 - fy * a21) ** 2), 9) AS distance FROM s, (VALUES (0, 1, 1), (1, -1, 1), (2, 1, -1), (3, -1, -1)) f(flip, fx, fy))
+ SELECT shape_id, min({{'d': distance, 'f': flip, 's': shift}}).f AS flip, min({{'d': distance, 'f': flip, 's': shift}}).s AS shift, round(min(distance), 6) AS distance FROM d GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return shapes.best_flip(points(t), _reference(t), 32).select("shape_id", "flip", "shift", *_r("distance"))
+
+
+@query(
+    "w16_reindexed",
+    f"""WITH {PTS}, ref AS (SELECT i, x AS rx, y AS ry FROM pts WHERE shape_id = 0), d AS (SELECT shape_id, (pts.i - ref.i + 32) % 32 AS shift, round(sum(sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry))), 9) AS distance FROM pts, ref GROUP BY ALL)
+ SELECT shape_id, min({{'d': distance, 's': shift}}).s AS shift, round(min(distance), 6) AS distance FROM d GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    ref = points(t).where("shape_id = 0").select("i", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    return shapes.reindexed(points(t), ref, 32).select("shape_id", "shift", *_r("distance"))
+
+
 @query(
     "g11_resampled",
     f"""WITH {ARC}, tot AS (SELECT *, sum(step) OVER (PARTITION BY shape_id) / 19 AS gap FROM arc), s AS (SELECT DISTINCT shape_id, k, gap FROM tot, range(20) r(k)),
@@ -199,13 +219,6 @@ def _(t: Tables) -> DataFrame:
     return p.select("shape_id", F.round(far, 6).alias("diameter"))
 
 
-@query("k05_landmark_rows", f"WITH {PTS} SELECT shape_id, string_agg(round(x, 3)::DECIMAL(9, 3) || ' ' || round(y, 3)::DECIMAL(9, 3), chr(10) ORDER BY i) AS tps FROM pts WHERE shape_id < 200 GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    p = points(t).where("shape_id < 200")
-    text = F.concat(F.round("x", 3).cast("decimal(9,3)").cast("string"), F.lit(" "), F.round("y", 3).cast("decimal(9,3)").cast("string"))
-    return p.groupBy("shape_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("t")))), lambda s: s["t"]), "\n").alias("tps"))
-
-
 @query("g28_back_projection", "SELECT l_orderkey, l_linenumber, l_partkey, round((l_suppkey - 50) * z / 797.3, 6) AS x, round((l_quantity - 25) * z / 797.3, 6) AS y FROM (SELECT *, CASE WHEN l_discount = 0 THEN 1e-6 ELSE l_discount END AS z FROM lineitem)")
 def _(t: Tables) -> DataFrame:
     z = F.when(F.col("l_discount") == 0, F.lit(1e-6)).otherwise(F.col("l_discount"))

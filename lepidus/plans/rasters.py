@@ -40,12 +40,25 @@ def _(t: Tables) -> DataFrame:
     return raster.warped(inner, ring, ring.select("shape_id", "i", (F.col("x") * 2).alias("x"), F.col("y")))
 
 
-@query("g18_lab_clusters")
-def _(t: Tables) -> DataFrame:
+def _colours(t: Tables) -> DataFrame:
     c = pixels(t).select("sample", "c0", "c1", "c2").distinct()
     l_, a, b = fc.lab(F.col("c0"), F.col("c1"), F.col("c2"))
-    each = c.select("sample", F.row_number().over(Window.partitionBy("sample").orderBy("c0", "c1", "c2")).alias("k"), l_.alias("l"), a.alias("a"), b.alias("b"))
-    return vectors.hierarchical(each, "sample", "k", ["l", "a", "b"], way="average", height=30.0)
+    return c.select("sample", F.row_number().over(Window.partitionBy("sample").orderBy("c0", "c1", "c2")).alias("k"), l_.alias("l"), a.alias("a"), b.alias("b"))
+
+
+@query("g18_lab_clusters")
+def _(t: Tables) -> DataFrame:
+    return vectors.hierarchical(_colours(t), "sample", "k", ["l", "a", "b"], way="average", height=30.0)
+
+
+@query("g18_threshold_sweep")
+def _(t: Tables) -> DataFrame:
+    return vectors.sweep(_colours(t), "sample", "k", ["l", "a", "b"], [10.0, 20.0, 25.0, 30.0, 40.0])
+
+
+@query("g18_dominant_clusters")
+def _(t: Tables) -> DataFrame:
+    return vectors.dominant(vectors.hierarchical(_colours(t), "sample", "k", ["l", "a", "b"], way="average", height=25.0), "sample")
 
 
 @query("g25_shine", f"WITH {PIX} SELECT sample, count(*) AS n FROM pix WHERE greatest(c0, c1, c2) >= 240 GROUP BY 1")
@@ -65,6 +78,12 @@ def _(t: Tables) -> DataFrame:
     return raster.equalised(_picture(t).select("image", "y", "x", "v"), tiles=2)
 
 
+@query("g25_lightened")
+def _(t: Tables) -> DataFrame:
+    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), "c0", "c1", "c2")
+    return raster.lightened(coco.first_of(p, ["image", "y", "x"], ["c0", "c1", "c2"]), tiles=2)
+
+
 @query("g25_without_shine")
 def _(t: Tables) -> DataFrame:
     return raster.without_shine(_picture(t).select("image", "y", "x", "v"))

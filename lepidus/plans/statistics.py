@@ -50,6 +50,17 @@ def _(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([tuple(m.values())], ", ".join(f"{k} double" for k in m))
 
 
+@query("g19_manova_tests")
+def _(t: Tables) -> DataFrame:
+    rows = stats.manova_tests(stats.manova(t.lineitem, "l_returnflag", FEATURES), len(FEATURES))
+    return t.spark.createDataFrame([(r[0], *map(float, r[1:])) for r in rows], "statistic string, value double, df1 double, df2 double, f double, p double")
+
+
+@query("w12_rank_tests")
+def _(t: Tables) -> DataFrame:
+    return stats.wilcoxon_tests(t.lineitem, "l_orderkey", "l_quantity", "l_suppkey")
+
+
 @query(
     "w12_signed_ranks",
     """WITH d AS (SELECT l_orderkey, l_quantity - l_suppkey AS d, abs(l_quantity - l_suppkey) AS m FROM lineitem WHERE l_quantity <> l_suppkey), r AS (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY m) + (count(*) OVER (PARTITION BY l_orderkey, m) - 1) / 2.0 AS r FROM d)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lepidus.functions import strings
@@ -78,9 +78,27 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.length(n).cast("long").alias("n_chars"), F.md5(n).alias("digest"))
 
 
-@query("x08_sections", "SELECT doc_id, regexp_extract(text, '(?s)(?:^|\\n)([^\\n]*)\\n', 1) AS first_line FROM documents WHERE contains(text, chr(10))")
+SECTIONS = "'Description (short)' || chr(10) || text || chr(10) || chr(10) || 'Diagnosis: ' || chr(10) || item_id || ' ' || text || chr(10) || ' ' || chr(10) || 'End'"
+
+
+def _sections() -> Column:
+    return F.concat(F.lit("Description (short)\n"), "text", F.lit("\n\nDiagnosis: \n"), "item_id", F.lit(" "), "text", F.lit("\n \nEnd"))
+
+
+@query("x08_sections", "SELECT item_id, trim(item_id || ' ' || split_part(text, chr(10) || chr(10), 1)) AS diagnosis, '' AS absent FROM benchmark")
+def _(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", strings.section(_sections(), "Diagnosis").alias("diagnosis"), strings.section(_sections(), "Material").alias("absent"))
+
+
+@query("x10_key_features", "SELECT item_id, CASE WHEN contains(d, '. ') THEN split_part(d, '. ', 1) || '.' ELSE d END AS feature FROM (SELECT item_id, trim(item_id || ' ' || split_part(text, chr(10) || chr(10), 1)) AS d FROM benchmark)")
+def _(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", strings.key_features(_sections()).alias("feature"))
+
+
+@query("x10_feature_lines", "SELECT p_partkey, [p_type, p_brand] AS features FROM part")
 def _(t: Tables) -> DataFrame:
-    return t.documents.where(F.contains("text", F.lit("\n"))).select("doc_id", F.regexp_extract("text", r"(?s)(?:^|\n)([^\n]*)\n", 1).alias("first_line"))
+    line = strings.feature_line(F.concat(F.lit("sp"), "p_partkey"), F.array("p_type", "p_brand"))
+    return t.part.select("p_partkey", strings.parsed_features(F.concat(F.lit("Key:\n"), line))[F.concat(F.lit("sp"), "p_partkey")].alias("features"))
 
 
 @query("x09_state_lines")
@@ -93,10 +111,10 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", strings.first_sentence(F.col("text")).alias("s"))
 
 
-@query("x11_replaced_keys", "SELECT page_id, regexp_replace(html, '(?s)<nav>.*?</nav>', '') || '<key/>' AS html FROM pages")
+@query("x11_replaced_keys", "SELECT item_id, 'Intro' || chr(10) || 'Species Description for a: x' || chr(10) || chr(10) || 'Dichotomous Key: new' || chr(10) AS text FROM benchmark")
 def _(t: Tables) -> DataFrame:
-    # the old block goes up to what follows it, which stays
-    return t.pages.select("page_id", F.concat(F.regexp_replace("html", r"(?s)<nav>.*?</nav>(?=)", ""), F.lit("<key/>")).alias("html"))
+    old = F.concat(F.lit("Intro\nDichotomous Key: "), "text", F.lit("\nSpecies Description for a: x\nDichotomous Key: "), "text")
+    return t.benchmark.select("item_id", strings.with_key(strings.without_keys(old), F.lit(" Dichotomous Key: new ")).alias("text"))
 
 
 @query("x12_json_blocks", "SELECT event_id, TRY_CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS BIGINT) AS k FROM events")
@@ -152,14 +170,15 @@ def _(t: Tables) -> DataFrame:
     return text.tagged(t.benchmark, "item_id", "text")
 
 
-@query("x24_lists", "SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: trim(x)) AS parts FROM part")
+@query("x24_lists", "SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: trim(x)) AS parts, [p_size::DOUBLE, p_retailprice] AS numbers FROM part")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.transform(F.split("p_name", " "), F.trim).alias("parts"))
+    return t.part.select("p_partkey", strings.listed(F.replace("p_name", F.lit(" "), F.lit(" , "))).alias("parts"), strings.floats(F.concat("p_size", F.lit(", ,"), "p_retailprice")).alias("numbers"))
 
 
-@query("x25_block_names", "SELECT doc_id, coalesce(nullif(regexp_extract(text, '^([A-Z][a-z]+) ', 1), ''), 'unknown_species') AS species FROM documents")
+@query("x25_block_names", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Sp ' || doc_id ELSE 'unknown_species' END AS species FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.coalesce(F.nullif(F.regexp_extract("text", "^([A-Z][a-z]+) ", 1), F.lit("")), F.lit("unknown_species")).alias("species"))
+    header = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("SPECIES Description for *Sp "), "doc_id", F.lit("*:\n"))).otherwise(F.lit("no header\n"))
+    return t.documents.select("doc_id", strings.block_species(F.concat(header, "text")).alias("species"))
 
 
 @query("a08_word_counts", f"WITH d AS (SELECT unnest(string_split({NORM}, ' ')) AS word FROM documents WHERE {NORM} <> '') SELECT word, count(*) AS n FROM d GROUP BY 1")

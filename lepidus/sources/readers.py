@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lepidus.operators.assemble import first_by_prefix
+from lepidus.operators.coco import numbered
 
 IMAGE = "id string, file_name string, width int, height int, area bigint"
 ANNOTATION = "id bigint, image_id string, category_id bigint, segmentation array<array<double>>, bbox array<double>, area double, iscrowd int, keypoints array<double>, num_keypoints int, point_order array<int>, score double"
@@ -23,7 +24,7 @@ def _struct(ddl: str) -> str:
 def coco(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories) of COCO files, each row with its source_file and pos.  A file that isn't a COCO object raises when it is read."""
     schema = f"images {_struct(IMAGE)}, annotations {_struct(ANNOTATION)}, categories {_struct(CATEGORY)}"
-    raw = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST").withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    raw = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST").withColumn("source_file", F.col("_metadata.file_name"))
     checked = raw.where(F.when(F.col("images").isNull() | F.col("annotations").isNull() | F.col("categories").isNull(), F.raise_error(F.concat(F.lit("not a COCO file: "), "source_file")).isNotNull()).otherwise(True))
     out = []
     for part in ("images", "annotations", "categories"):
@@ -103,7 +104,7 @@ def lines(spark: SparkSession, path: str, lower: bool = False, distinct: bool =
 
 def answers(spark: SparkSession, folder: str, suffix: str = "_qa") -> DataFrame:
     """(species_name, qa map) of a folder of JSON files, named by their stems."""
-    name = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", ""), f"{suffix}$", "")
+    name = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""), f"{suffix}$", "")
     return spark.read.text(f"{folder}/*.json", wholetext=True).select(name.alias("species_name"), F.from_json("value", "map<string,string>").alias("qa"))
 
 
@@ -133,25 +134,73 @@ def models(spark: SparkSession, path: str) -> DataFrame:
 
 def descriptions(spark: SparkSession, folder: str) -> DataFrame:
     """(model, pos, line): one text file a model, one line a species, blank lines left out; whole files, so positions are exact."""
-    raw = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.txt$", "").alias("model"), "value")
-    return raw.select("model", F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")).alias("pos", "line"))
+    raw = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("model"), "value")
+    return raw.select("model", F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "line"))
 
 
-def images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "tif", "tiff"), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(id, path, file_name, width, height, format) of image files in a folder and below; sizes come from the file's header, and unreadable files are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions))
+HEAD = 1 << 18  # bytes of a file in which its sizes are looked for first
+
+
+def _heads(paths: DataFrame, kind: str, read: Callable[[bytes], object], names: list[str]) -> DataFrame:
+    """(path, ...) of files: what ``read`` finds in each one's first bytes, or, where that is nothing, in the whole file.  Only paths move through Spark."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for f in frames:
+            rows = []
+            for path in f["path"]:
+                store, at = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/"))
+                with store.open_input_stream(at) as stream:
+                    content = stream.read(HEAD)
+                    got = read(content)
+                    if got is None and len(content) == HEAD:
+                        got = read(content + stream.read())
+                rows.append((path, *(got or [None] * len(names))))
+            yield pd.DataFrame(rows, columns=["path", *names]).astype(object)
+
+    return paths.select("path").mapInPandas(run, f"path string, {kind}")
+
+
+def images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "tif", "tiff"), exclude: tuple[str, ...] = (), block: int = 10_000) -> DataFrame:
+    """(id, path, file_name, width, height, format) of image files in a folder and below, numbered by path; sizes come from the file's header, and unreadable files are left out.
+
+    Numbers are given in ranges of paths of about ``block`` files, each on its own.
+    """
+    from lepidus.operators.lineage import written
+    from lepidus.sources.headers import size
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions))
     for name in exclude:
         raw = raw.where(~F.contains("path", F.lit(f"/{name}/")))
+    sized = written(_heads(raw, "width int, height int, format string", size, ["width", "height", "format"]).where("width is not null"), "images")
+    parts = max(1, -(-sized.count() // block))
+    ranged = written(sized.repartitionByRange(parts, "path").withColumn("_block", F.spark_partition_id()), "ranged")
+    return numbered(ranged, ["path"], F.col("_block"), "id").select("id", "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "width", "height", "format")
 
-    def head(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from lepidus.sources.headers import size
 
-        for f in frames:
-            got = [size(c) for c in f["content"]]
-            yield pd.DataFrame({"path": f["path"], "width": [g[0] if g else None for g in got], "height": [g[1] if g else None for g in got], "format": [g[2] if g else None for g in got]})
+def shots(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "tif", "tiff")) -> DataFrame:
+    """(path, camera, focal_mm, width, height) of the image files in a folder and below that carry EXIF data: what intrinsics() takes."""
+    from lepidus.sources.headers import exif
+
+    def read(content: bytes) -> list | None:
+        got = exif(content)
+        return None if got is None else [got[k] for k in ("camera", "focal_mm", "width", "height")]
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions))
+    return _heads(raw, "camera string, focal_mm double, width int, height int", read, ["camera", "focal_mm", "width", "height"]).where("camera is not null")
+
 
-    sized = raw.select("path", "content").mapInPandas(head, "path string, width int, height int, format string").where("width is not null")
-    return sized.select(F.row_number().over(Window.orderBy("path")).alias("id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "width", "height", "format")
+def structured(texts: DataFrame, column: str = "value") -> DataFrame:
+    """``texts`` with ``missing``: which of images, annotations and categories isn't a list in each JSON text (all of them where it doesn't parse), and ``ok`` where none is."""
+    keys = ("images", "annotations", "categories")
+    got = F.from_json(column, "map<string, string>")
+    there = lambda k: F.coalesce(F.ltrim(got[k]).startswith("["), F.lit(False))
+    missing = F.filter(F.array(*[F.when(~there(k), F.lit(k)) for k in keys]), lambda x: x.isNotNull())
+    return texts.withColumn("missing", missing).withColumn("ok", F.size("missing") == 0)
 
 
 def data_urls(files: DataFrame, mime: str = "image/jpeg") -> DataFrame:
@@ -159,7 +208,8 @@ def data_urls(files: DataFrame, mime: str = "image/jpeg") -> DataFrame:
     return files.select("path", F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64("content"), "[\r\n]", "")).alias("url"))
 
 
-CAMERAS = [("Canon EOS 5D", 36.0, 24.0, 6.41), ("Nikon D850", 35.9, 23.9, 4.35), ("Sony A7R IV", 35.7, 23.8, 3.76), ("Olympus E-M1", 17.4, 13.0, 3.36)]
+#: (make and model, sensor's width and height in mm, a pixel's in micrometers)
+CAMERAS = [("Canon EOS 5D Mark IV", 36.0, 24.0, 6.36), ("Nikon D850", 35.9, 23.9, 4.35), ("Sony Alpha A7R IV", 35.7, 23.8, 3.76), ("Generic Full Frame", 36.0, 24.0, 5.9)]
 
 
 def intrinsics(shots: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -196,9 +246,9 @@ def materials(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("_o", F.monotonically_increasing_id()).groupBy("species_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "label_jsonl_path"))), lambda s: s["label_jsonl_path"]).alias("files"))
 
 
-def species_blocks(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(pos, block): blocks between lines of 80 signs #."""
-    b = texts.select(F.posexplode(F.split(column, "#{80}")).alias("pos", "block"))
+def species_blocks(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(.., pos, block): blocks between lines of 80 signs #, beside the columns to keep."""
+    b = texts.select(*keep, F.posexplode(F.split(column, "#{80}")).alias("pos", "block"))
     return b.withColumn("block", F.regexp_replace("block", r"^\s+|\s+$", "")).where("block <> ''")
 
 

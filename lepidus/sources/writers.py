@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,11 +143,32 @@ def rejects(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataF
     return marked.where("_reject_reason is null").drop("_reject_reason"), marked.where("_reject_reason is not null")
 
 
-def save_masks(runs: DataFrame, save: Callable[[int, list[tuple[int, int, int]]], None]) -> None:
-    """Hand each shape's pixel runs (y, x0, x1) to ``save`` in the tasks; it must write under a name of its own and replace a file in one step, as a task may run twice."""
+def mask_files(runs: DataFrame, name: str = "name") -> DataFrame:
+    """(name, content): a PNG of each shape's pixel runs (name, y, x0, x1)."""
 
-    def each(rows: Iterator) -> None:
-        for r in rows:
-            save(r.shape_id, [(p.y, p.x0, p.x1) for p in r.runs])
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from lepidus.sources import png
 
-    runs.groupBy("shape_id").agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs")).foreachPartition(each)
+        for f in frames:
+            yield pd.DataFrame({name: f[name], "content": [png.encode(png.mask([(r["y"], r["x0"], r["x1"]) for r in rs])) for rs in f["runs"]]})
+
+    packed = runs.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
+    return packed.mapInPandas(draw, f"{name} string, content binary")
+
+
+def with_suffix(name: Column, suffix: str) -> Column:
+    """A file name with ``suffix`` before its extension."""
+    return F.concat(F.regexp_replace(name, r"\.[^./]*$", ""), F.lit(suffix), F.regexp_extract(name, r"(\.[^./]*)$", 1))
+
+
+def landmark_annotations(points: DataFrame, category_id: int = 1) -> DataFrame:
+    """(id, image_id, category_id, keypoints, num_keypoints): each shape's landmarks as a COCO annotation, all visible."""
+    xyv = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda p: F.array(p["x"], p["y"], F.lit(2.0))))
+    g = points.groupBy("shape_id").agg(xyv.alias("keypoints"))
+    return g.select(F.col("shape_id").alias("id"), F.col("shape_id").cast("string").alias("image_id"), F.lit(category_id).cast("long").alias("category_id"), "keypoints", (F.size("keypoints") / 3).cast("int").alias("num_keypoints"))
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Result tables (components, clusters, word counts, embeddings, overlap scores, similarity matrices, graph comparisons) as CSV with headers, each under path/<name>; complex columns are JSON text."""
+    for name, df in tables.items():
+        metrics_csv(df).write.mode("overwrite").csv(f"{path}/{name}", header=True)
