@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,10 +21,15 @@ def _struct(ddl: str) -> str:
     return "array<struct<" + ", ".join(f"{c.strip().split(' ', 1)[0]}: {c.strip().split(' ', 1)[1]}" for c in ddl.split(", ")) + ">>"
 
 
+def _file_name() -> Column:
+    """The name of the file that a row is from; Spark gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def coco(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories) of COCO files, each row with its source_file and pos.  A file that isn't a COCO object raises when it is read."""
     schema = f"images {_struct(IMAGE)}, annotations {_struct(ANNOTATION)}, categories {_struct(CATEGORY)}"
-    raw = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST").withColumn("source_file", F.col("_metadata.file_name"))
+    raw = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST").withColumn("source_file", _file_name())
     checked = raw.where(F.when(F.col("images").isNull() | F.col("annotations").isNull() | F.col("categories").isNull(), F.raise_error(F.concat(F.lit("not a COCO file: "), "source_file")).isNotNull()).otherwise(True))
     out = []
     for part in ("images", "annotations", "categories"):
@@ -104,7 +109,7 @@ def lines(spark: SparkSession, path: str, lower: bool = False, distinct: bool =
 
 def answers(spark: SparkSession, folder: str, suffix: str = "_qa") -> DataFrame:
     """(species_name, qa map) of a folder of JSON files, named by their stems."""
-    name = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""), f"{suffix}$", "")
+    name = F.regexp_replace(F.regexp_replace(_file_name(), r"\.json$", ""), f"{suffix}$", "")
     return spark.read.text(f"{folder}/*.json", wholetext=True).select(name.alias("species_name"), F.from_json("value", "map<string,string>").alias("qa"))
 
 
@@ -134,7 +139,7 @@ def models(spark: SparkSession, path: str) -> DataFrame:
 
 def descriptions(spark: SparkSession, folder: str) -> DataFrame:
     """(model, pos, line): one text file a model, one line a species, blank lines left out; whole files, so positions are exact."""
-    raw = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("model"), "value")
+    raw = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_replace(_file_name(), r"\.txt$", "").alias("model"), "value")
     return raw.select("model", F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "line"))
 
 
