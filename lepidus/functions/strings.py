@@ -30,8 +30,8 @@ def normalised(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    n = normalised(c)
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+    """The words of normalised(), in one pass less."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", ""), r"\s+"), lambda w: w != "")
 
 
 def section(c: Column, start: str) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lepidus.operators.lineage import bounded
+
 
 def species_records(measurements: DataFrame, colours: DataFrame, answers: DataFrame, materials: DataFrame) -> DataFrame:
     """(species_name, categories, qa, materials): each species with its categories' measurements and colours, its answers and its material.
@@ -43,7 +45,7 @@ def grid(images: DataFrame, questions: DataFrame, temperatures: Sequence[float],
     """Every image, question, temperature and replicate with its seed: a plan whose size is their product."""
     spark = images.sparkSession
     runs = spark.createDataFrame([(float(t), r, seed + r - 1) for t in temperatures for r in range(1, replicates + 1)], "temperature double, replicate int, seed int")
-    return images.crossJoin(F.broadcast(questions)).crossJoin(F.broadcast(runs))  # lists of questions and settings
+    return images.crossJoin(bounded(questions)).crossJoin(F.broadcast(runs))  # settings are a list in the program
 
 
 def _parts(names: DataFrame, name: str, others: DataFrame, other: str) -> DataFrame:

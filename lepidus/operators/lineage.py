@@ -41,6 +41,11 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, which are counted; else as it is, and the join is Spark's choice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root being the least node of its component.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from lepidus.functions import geometry
+from lepidus.operators.lineage import bounded
 
 
 
@@ -102,7 +103,7 @@ def centred(points: DataFrame) -> DataFrame:
 
 def procrustes(points: DataFrame, reference: DataFrame) -> DataFrame:
     """(shape_id, distance, disparity, angle) against one reference shape (i, rx, ry), centred and of unit norm: four sums a shape."""
-    j = centred(points).join(F.broadcast(reference), "i")
+    j = centred(points).join(bounded(reference), "i")
     s = lambda a, b: F.sum(F.col(a) * F.col(b))
     g = j.groupBy("shape_id").agg(s("x", "rx").alias("a11"), s("x", "ry").alias("a12"), s("y", "rx").alias("a21"), s("y", "ry").alias("a22"))
     a = [F.col(c) for c in ("a11", "a12", "a21", "a22")]
@@ -114,7 +115,7 @@ def best_shift(points: DataFrame, reference: DataFrame, n: int) -> DataFrame:
 
     Four sums for every shift of every shape; the reference, one row a point, is the side that is repeated.
     """
-    turned = F.broadcast(reference.select(F.col("i").alias("ri"), "rx", "ry"))
+    turned = bounded(reference.select(F.col("i").alias("ri"), "rx", "ry"))
     j = centred(points).crossJoin(turned).withColumn("shift", F.pmod(F.col("i") - F.col("ri"), F.lit(n)))
     s = lambda a, b: F.sum(F.col(a) * F.col(b))
     g = j.groupBy("shape_id", "shift").agg(s("x", "rx").alias("a11"), s("x", "ry").alias("a12"), s("y", "rx").alias("a21"), s("y", "ry").alias("a22"))
@@ -130,7 +131,7 @@ def best_flip(points: DataFrame, reference: DataFrame, n: int) -> DataFrame:
 
     A reflection only changes the signs of the four sums of a shift, so it costs no more rows.
     """
-    turned = F.broadcast(reference.select(F.col("i").alias("ri"), "rx", "ry"))  # one shape
+    turned = bounded(reference.select(F.col("i").alias("ri"), "rx", "ry"))  # one shape
     j = centred(points).crossJoin(turned).withColumn("shift", F.pmod(F.col("i") - F.col("ri"), F.lit(n)))
     s = lambda a, b: F.sum(F.col(a) * F.col(b))
     g = j.groupBy("shape_id", "shift").agg(s("x", "rx").alias("a11"), s("x", "ry").alias("a12"), s("y", "rx").alias("a21"), s("y", "ry").alias("a22"))
@@ -141,7 +142,7 @@ def best_flip(points: DataFrame, reference: DataFrame, n: int) -> DataFrame:
 
 def reindexed(points: DataFrame, reference: DataFrame, n: int) -> DataFrame:
     """(shape_id, shift, distance): the circular shift at which a shape's points, as they are, lie nearest to the reference's (i, rx, ry), by the sum of distances; ties go to the smaller shift."""
-    ref = F.broadcast(reference.select(F.col("i").alias("ri"), "rx", "ry"))  # one shape
+    ref = bounded(reference.select(F.col("i").alias("ri"), "rx", "ry"))  # one shape
     j = points.crossJoin(ref).withColumn("shift", F.pmod(F.col("i") - F.col("ri"), F.lit(n)))
     d = F.sum(F.sqrt((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))))
     g = j.groupBy("shape_id", "shift").agg(F.round(d, 9).alias("distance"))

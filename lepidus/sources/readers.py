@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lepidus.operators.assemble import first_by_prefix
 from lepidus.operators.coco import numbered
+from lepidus.operators.lineage import bounded, written
 
 IMAGE = "id string, file_name string, width int, height int, area bigint"
 ANNOTATION = "id bigint, image_id string, category_id bigint, segmentation array<array<double>>, bbox array<double>, area double, iscrowd int, keypoints array<double>, num_keypoints int, point_order array<int>, score double"
@@ -175,7 +176,6 @@ def images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg
 
     Numbers are given in ranges of paths of about ``block`` files, each on its own.
     """
-    from lepidus.operators.lineage import written
     from lepidus.sources.headers import size
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*extensions))
@@ -219,7 +219,7 @@ CAMERAS = [("Canon EOS 5D Mark IV", 36.0, 24.0, 6.36), ("Nikon D850", 35.9, 23.9
 
 def intrinsics(shots: DataFrame, cameras: DataFrame) -> DataFrame:
     """(.., fx, fy, cx, cy) of shots (camera, focal_mm, width, height): focal length in pixels by the sensor's size; null for a camera that isn't listed."""
-    j = shots.join(F.broadcast(cameras), "camera", "left")  # a table of cameras
+    j = shots.join(bounded(cameras), "camera", "left")
     return j.select(*shots.columns, F.try_divide(F.col("focal_mm") * F.col("width"), "sensor_w").alias("fx"), F.try_divide(F.col("focal_mm") * F.col("height"), "sensor_h").alias("fy"), (F.col("width") / 2).alias("cx"), (F.col("height") / 2).alias("cy"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from lepidus.operators import shapes
@@ -77,3 +78,25 @@ def test_raster_and_skeleton(spark):
     pixels = runs.selectExpr("shape_id AS mask_id", "y", "explode(sequence(x0, x1)) AS x")
     r = shapes.thinned(pixels).first()
     assert 10 <= r.skeleton_pixels <= 20 and 3 <= r.mean_width <= 6
+    assert r.algorithm in ("Zhang-Suen", "Guo-Hall") and 0 < r.unbranched_pixels <= r.skeleton_pixels
+
+
+def test_thinning_of_a_cross():
+    a = np.zeros((31, 31), bool)
+    a[14:17, 2:29] = a[2:29, 14:17] = True
+    for rules in ("Zhang-Suen", "Guo-Hall"):
+        s = shapes.skeleton(a, rules)
+        assert (s <= a).all() and 40 <= s.sum() <= 60 and (shapes.skeleton(s, rules) == s).all()
+        cut = shapes.unbranched(s)
+        assert cut.sum() < s.sum() and (sum(x.astype(int) for x in shapes._around(cut))[cut] <= 2).all()
+
+
+def test_reflections(spark):
+    ring = [(0.0, 0.0), (3.0, 0.0), (3.0, 1.0), (1.0, 1.0), (1.0, 2.0), (0.0, 2.0)]
+    mirrored = [(-x, y) for x, y in ring]
+    p = table(spark, ring, turned(mirrored[2:] + mirrored[:2], 0.4))
+    ref = shapes.centred(p.where("shape_id = 0")).selectExpr("i", "x AS rx", "y AS ry")
+    got = {r.shape_id: (r.flip, r.shift, r.distance) for r in shapes.best_flip(p, ref, 6).collect()}
+    assert got == {0: (0, 0, pytest.approx(0, abs=1e-8)), 1: (1, 4, pytest.approx(0, abs=1e-8))}
+    moved = table(spark, ring, ring[2:] + ring[:2])
+    assert {r.shape_id: (r.shift, r.distance) for r in shapes.reindexed(moved, moved.where("shape_id = 0").selectExpr("i", "x AS rx", "y AS ry"), 6).collect()} == {0: (0, 0.0), 1: (4, 0.0)}

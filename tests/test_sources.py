@@ -121,3 +121,49 @@ def test_streaming(spark, data, tmp_path):
     run = ingest.upsert(events.select("user_id", "ts", "value"), str(tmp_path / "t"), ["user_id"], "ts", str(tmp_path / "c"))
     run()
     assert spark.read.parquet(str(tmp_path / "t/v0")).count() == spark.read.parquet(f"{data}/events.parquet").select("user_id").distinct().count()
+    assert ingest.current(spark, str(tmp_path / "t")) == 0
+    assert ingest.upserted(spark, str(tmp_path / "t")).count() == spark.read.parquet(str(tmp_path / "t/v0")).count()
+
+
+def test_upserts_follow_the_pointer(spark, tmp_path):
+    at = str(tmp_path / "t")
+    for n, rows in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")], [(3, 1, "d")], [(2, 0, "old")]]):
+        spark.createDataFrame(rows, "k int, t int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.upsert(spark.readStream.schema("k int, t int, v string").parquet(str(tmp_path / "in")), at, ["k"], "t", str(tmp_path / "c"))()
+        assert ingest.current(spark, at) == n
+    assert sorted((r.k, r.v) for r in ingest.upserted(spark, at).collect()) == [(1, "c"), (2, "b"), (3, "d")]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name[0] == "v") == ["v2", "v3"]
+    (tmp_path / "t/v3").rename(tmp_path / "gone")
+    with pytest.raises(FileNotFoundError):
+        ingest.current(spark, at)
+
+
+def test_structure(spark):
+    df = spark.createDataFrame([('{"images": [], "annotations": [{}], "categories": [1]}',), ('{"images": {}, "annotations": []}',), ("no",), (None,)], "value string")
+    assert [(r.ok, r.missing) for r in readers.structured(df).collect()] == [(True, []), (False, ["images", "categories"]), (False, ["images", "annotations", "categories"]), (False, ["images", "annotations", "categories"])]
+
+
+def test_masks_as_png(spark, tmp_path):
+    from lepidus.sources import png as made
+
+    runs = spark.createDataFrame([("a b.png", 0, 1, 2), ("a b.png", 2, 0, 3)], "name string, y int, x0 int, x1 int")
+    writers.write_each(writers.mask_files(runs), str(tmp_path / "m"), "name", "content")
+    want = np.array([[0, 255, 255, 0], [0, 0, 0, 0], [255, 255, 255, 255]])
+    assert (made.decode((tmp_path / "m/a b.png").read_bytes()) == want).all()
+    assert [(r.file_name, r.width, r.height) for r in readers.images(spark, str(tmp_path / "m")).collect()] == [("a b.png", 4, 3)]
+    name = writers.with_suffix(F.col("n"), "_mask")
+    assert [r[0] for r in spark.createDataFrame([("x.y/a.jpg",), ("b",)], "n string").select(name).collect()] == ["x.y/a_mask.jpg", "b_mask"]
+
+
+def test_sheets(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("filename,group_label,x\na.jpg,G,1\n")
+    assert readers.group_labels(spark, str(tmp_path / "g.csv")).collect() == [("a.jpg", "G")]
+    (tmp_path / "e.tsv").write_text("base_name\tanswer\timage_path\n Sp A \tlong\ti.jpg\n")
+    assert readers.expert_sheet(spark, str(tmp_path / "e.tsv")).collect() == [("sp a", "long", "i.jpg")]
+    (tmp_path / "bad.tsv").write_text("base_name\tanswer\n")
+    with pytest.raises(ValueError, match="image_path"):
+        readers.expert_sheet(spark, str(tmp_path / "bad.tsv"))
+    blocks = readers.species_blocks(spark.createDataFrame([("a\n" + "#" * 80 + "\n\n" + "#" * 80 + "\nb",)], "value string"))
+    assert [(r.pos, r.block) for r in blocks.collect()] == [(0, "a"), (2, "b")]
+    assert spark.range(1).select(assemble.substituted(F.lit("x [T] y"), "[T]", F.lit("z"))).first()[0] == "x z y"
+    assert [r.word for r in writers.word_frequencies(spark.createDataFrame([("a", 1), ("b", 2)], "word string, n int")).collect()] == ["b", "a"]

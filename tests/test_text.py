@@ -1,10 +1,13 @@
+import math
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lepidus.functions import strings
-from lepidus.operators import graphs, stats, text, vectors
+from lepidus.operators import assemble, graphs, stats, text, vectors
 
 
 def slow_lcs(a, b):
@@ -83,3 +86,87 @@ def test_components(spark):
     d = spark.createDataFrame([(float(k), 2.0 * k, 1.0) for k in range(10)], "a double, b double, c double")
     out, share = stats.components(d, ["a", "b", "c"], 2)
     assert share[0] == pytest.approx(1) and out.agg(F.max(F.abs("pc2"))).first()[0] == pytest.approx(0, abs=1e-6)
+
+
+def test_rank_tests():
+    # worked by hand: W = 3 of 6 pairs without ties has 5 of 64 patterns at or below it
+    assert stats.wilcoxon_p(6, 3) == pytest.approx(2 * 5 / 64)
+    assert stats.wilcoxon_p(60, 60 * 61 / 4) == pytest.approx(1.0)
+    n, w = 60, 700.0
+    z = (w - n * (n + 1) / 4) / (n * (n + 1) * (2 * n + 1) / 24) ** 0.5
+    assert stats.wilcoxon_p(n, w) == pytest.approx(1 + math.erf(z / 2**0.5))
+
+
+def test_manova_of_one_feature_is_an_f_test():
+    # F of 2 and d degrees of freedom has the closed tail (1 + 2 F / d) ** (-d / 2)
+    for f, d in ((0.5, 7), (3.0, 20), (9.0, 11)):
+        assert stats.f_tail(f, 2, d) == pytest.approx((1 + 2 * f / d) ** (-d / 2))
+    m = {"groups": 3.0, "n": 24.0, "wilks": 0.7, "pillai": 0.3, "hotelling": 0.3 / 0.7, "roy": 0.3 / 0.7}
+    rows = stats.manova_tests(m, 1)
+    f = 0.3 / 0.7 * 21 / 2
+    assert [r[4] for r in rows if r[0] != "hotelling"] == pytest.approx([f] * 3)
+    assert [r[5] for r in rows if r[0] == "wilks"] == pytest.approx([stats.f_tail(f, 2, 21)])
+
+
+@pytest.mark.parametrize("way", ["ward", "average"])
+def test_linkage_against_all_pairs(way):
+    x = np.random.default_rng(3).normal(size=(25, 3))
+    parts, heights = [[k] for k in range(len(x))], []
+    while len(parts) > 1:
+        def far(p, q):
+            if way == "average":
+                return np.mean([np.linalg.norm(x[i] - x[j]) for i in p for j in q])
+            return np.sqrt(2 * len(p) * len(q) / (len(p) + len(q))) * np.linalg.norm(x[p].mean(0) - x[q].mean(0))
+
+        h, i, j = min((far(p, q), i, j) for i, p in enumerate(parts) for j, q in enumerate(parts[:i]))
+        heights.append(h)
+        parts[j] += parts.pop(i)
+        if len(parts) == 4:
+            four = sorted(map(sorted, parts))
+    merges = vectors.linkage(x, way)
+    assert [m[2] for m in merges] == pytest.approx(heights) and merges[-1][3] == 25
+    labels = vectors.flat(merges, 25, 4)
+    assert sorted(np.flatnonzero(labels == k).tolist() for k in range(4)) == four
+
+
+def test_containment_and_prefixes(spark):
+    a = spark.createDataFrame([(1, "ab"), (2, "abc"), (3, "zz"), (4, None), (5, "q"), (6, "ab")], "k int, a string")
+    b = spark.createDataFrame([("xabcx",), ("zz",), ("yq",), ("qy",), (None,), ("b",)], "b string")
+    got = {r.k: r.b for r in assemble.unique_containment(a, b, "a", "b").collect()}
+    want = {}
+    for r in a.collect():
+        hits = [x.b for x in b.collect() if r.a and x.b and (r.a in x.b or x.b in r.a)]
+        want[r.k] = hits[0] if len(hits) == 1 else None
+    assert got == want
+    names = spark.createDataFrame([("img_1",), ("img_12",), ("no",), ("",)], "n string")
+    files = spark.createDataFrame([("img_12.png",), ("img_1.png",), ("img_13.png",)], "f string")
+    assert {r.n: r.f for r in assemble.first_by_prefix(names, files, "n", "f").collect()} == {"img_1": "img_1.png", "img_12": "img_12.png", "": "img_1.png"}
+
+
+def test_batches_are_those_of_a_fold(spark):
+    rng = np.random.default_rng(4)
+    sizes = [int(v) for v in rng.integers(0, 60, 3000)]
+    sizes[:5] = [0, 0, 0, 500, 0]
+    rows = [(("a", "b", None)[k % 3], k, s if k % 17 else None) for k, s in enumerate(sizes)]
+    want = {}
+    for g in ("a", "b", None):
+        batch = held = 0
+        for name, k, s in rows:
+            if name == g:
+                s = s or 0
+                if held > 0 and held + s + 5 > 100:
+                    batch, held = batch + 1, 0
+                held += s
+                want[k] = batch
+    df = spark.createDataFrame(rows, "g string, k int, s int")
+    assert {r.k: r.batch for r in text.batches(df, "g", "k", "s", 100, 5).collect()} == want
+
+
+def test_triangles_of_a_dense_graph(spark):
+    rng = np.random.default_rng(5)
+    near = np.triu(rng.random((30, 30)) < 0.4, 1)
+    edges = [(f"n{i}", f"n{j}") for i, j in zip(*np.nonzero(near))]
+    full = near | near.T
+    want = {f"n{k}": int((full[k][:, None] & full[k][None] & near).sum()) for k in range(30)}
+    got = {r.node: r.t for r in graphs.triangles(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {k: v for k, v in want.items() if v}
