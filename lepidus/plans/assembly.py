@@ -80,7 +80,11 @@ def _(t: Tables) -> DataFrame:
     return writers.manifest(rows).select("p_partkey", "output_json")
 
 
-@query("k13_chat_lines")
+@query(
+    "k13_chat_lines",
+    """SELECT replace(to_json({'messages': [{'role': 'system', 'content': 'You describe insects.'}, {'role': 'user', 'content': q}, {'role': 'assistant', 'content': a}]})::VARCHAR, ',"content":null', '') AS value
+ FROM (SELECT max_by(text, turn) FILTER (role = 'user') AS q, max_by(text, turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)""",
+)
 def _(t: Tables) -> DataFrame:
     two = t.conversations.groupBy("conv_id").agg(F.max_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("q"), F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("a"))
     return writers.chat_lines(two, "q", "a", "You describe insects.")

@@ -199,7 +199,11 @@ def _(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.transform(F.array_sort(pairs), lambda s: s["k"]).alias("sequence"))
 
 
-@query("w16_nearest_order")
+@query(
+    "w16_nearest_order",
+    f"""WITH RECURSIVE {PTS}, f AS (SELECT shape_id, 0 AS rank, i, x, y, [i] AS seen FROM pts WHERE i = 0 UNION ALL SELECT shape_id, rank, i, x, y, list_append(seen, i) FROM (
+ SELECT f.shape_id, f.rank + 1 AS rank, p.i, p.x, p.y, f.seen, row_number() OVER (PARTITION BY f.shape_id ORDER BY (p.x - f.x) ** 2 + (p.y - f.y) ** 2, p.i) AS k FROM f JOIN pts p ON p.shape_id = f.shape_id AND NOT list_contains(f.seen, p.i)) WHERE k = 1) SELECT shape_id, i, rank FROM f""",
+)
 def _(t: Tables) -> DataFrame:
     return shapes.nearest_order(points(t))
 

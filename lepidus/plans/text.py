@@ -101,7 +101,12 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", strings.parsed_features(F.concat(F.lit("Key:\n"), line))[F.concat(F.lit("sp"), "p_partkey")].alias("features"))
 
 
-@query("x09_state_lines")
+@query(
+    "x09_state_lines",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+ m AS (SELECT doc_id, pos, CASE WHEN trim(line) = '' THEN '' ELSE nullif(regexp_extract(line, '^(?:The|Of|And) '), '') END AS mark FROM l),
+ s AS (SELECT doc_id, nullif(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), '') AS marker FROM m) SELECT doc_id, marker, count(*) AS n FROM s WHERE marker IS NOT NULL GROUP BY ALL""",
+)
 def _(t: Tables) -> DataFrame:
     return text.state_lines(t.documents, "doc_id", "text", r"^(?:The|Of|And) ").where("marker is not null").groupBy("doc_id", "marker").agg(F.count("*").alias("n"))
 
