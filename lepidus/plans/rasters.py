@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lepidus.functions import colour as fc
-from lepidus.operators import coco, colours, models, raster, shapes, vectors
+from lepidus.operators import coco, colours, detection, models, raster, shapes, vectors
 from lepidus.plans import Tables, query
 from lepidus.plans.geometry import outlines
 from lepidus.plans.colour import HIST, PIX, inside, pixels
@@ -112,6 +112,15 @@ def _(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"), F.lit(32 // 5).cast("long"))).alias("i"))
 
 
+@query("m02_average_precision")
+def _(t: Tables) -> DataFrame:
+    # a prediction beside every second box: moved by its discount, scored by its price
+    a = annotations(t).select("image_id", (F.col("category_id") % 20).alias("category_id"), "num", "disc", "price", F.array(F.col("supp").cast("double"), "qty", F.lit(40.0), F.lit(30.0)).alias("bbox"))
+    b = F.col("bbox")
+    p = a.where("num % 2 = 1").withColumn("bbox", F.array(b[0] + F.col("disc") * 100, b[1], b[2], b[3])).withColumn("score", F.col("price") / 100000)
+    return detection.average_precision(p, a).select("category_id", "threshold", F.round("ap", 6).alias("ap"), "n_truth")
+
+
 @query("r01_overlay_hues", f"WITH {CAT} SELECT supercategory, round((row_number() OVER (ORDER BY supercategory) - 1) / count(*) OVER ()::DOUBLE, 6) AS hue FROM (SELECT DISTINCT supercategory FROM categories)")
 def _(t: Tables) -> DataFrame:
     c = categories(t).select("supercategory").distinct()  # categories are few
