@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lepidus.operators.shapes import each_shape
+
 _AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 
 
@@ -155,25 +157,25 @@ def without_shine(pixels: DataFrame, channel: str = "v", least: float = 240.0, r
 def solid_measures(points: DataFrame) -> DataFrame:
     """(shape_id, length, width) of points in space: extent along the first axis and the greatest distance between points across it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["x", "y", "z"]].to_numpy()
+    def run(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple:
+        p = np.stack([x, y, z], axis=1)
         c = p - p.mean(axis=0)
         axis = np.linalg.eigh(c.T @ c)[1][:, -1]
         along = c @ axis
         flat = c - along[:, None] * axis
         sq = (flat**2).sum(1)
-        far = np.sqrt(max(0.0, float((sq[:, None] + sq[None] - 2 * flat @ flat.T).max())))
-        return pd.DataFrame({"shape_id": [pdf.shape_id.iloc[0]], "length": [float(np.ptp(along))], "width": [far]})
+        far = max(float((sq[k : k + 512, None] + sq[None] - 2 * flat[k : k + 512] @ flat.T).max()) for k in range(0, len(flat), 512))
+        return [float(np.ptp(along))], [np.sqrt(max(0.0, far))]
 
-    return points.select("shape_id", "x", "y", "z").groupBy("shape_id").applyInPandas(run, "shape_id long, length double, width double")
+    return each_shape(points, ["x", "y", "z"], run, "shape_id long, length double, width double")
 
 
 def valid_polygons(points: DataFrame) -> DataFrame:
     """(shape_id, valid): at least 3 distinct points and no two edges that cross."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("i")[["x", "y"]].to_numpy()
-        n, ok = len(p), len({*map(tuple, p)}) >= 3
+    def run(i: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        p = np.stack([x, y], axis=1)
+        n, ok = len(p), len({*map(tuple, p.tolist())}) >= 3
         q = np.roll(p, -1, axis=0)
         turn = lambda a, b, c: np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
         for k in range(n - 1):
@@ -181,9 +183,78 @@ def valid_polygons(points: DataFrame) -> DataFrame:
             if ok and len(j):
                 cross = (turn(p[k], q[k], p[j]) * turn(p[k], q[k], q[j]) < 0) & (turn(p[j], q[j], p[k]) * turn(p[j], q[j], q[k]) < 0)
                 ok = not cross.any()
-        return pd.DataFrame({"shape_id": [pdf.shape_id.iloc[0]], "valid": [bool(ok)]})
+        return ([bool(ok)],)
+
+    return each_shape(points, ["i", "x", "y"], run, "shape_id long, valid boolean")
+
+
+def segments(pixels: DataFrame, scale: float = 100.0, sigma: float = 0.5, least: int = 50) -> DataFrame:
+    """(image, y, x, segment): each picture cut into regions by Felzenszwalb and Huttenlocher's graph method; pixels (image, y, x, c0, c1, c2), 0..255.
+
+    Pixels are joined to those beside, below and aslant that are in the table, by the distance of their colours, smoothed by
+    ``sigma``; two regions merge if the edge between them is no greater than either's greatest edge within plus ``scale`` over its
+    size, and regions of under ``least`` pixels merge with a neighbour.  A picture is one row's work.
+    """
 
-    return points.select("shape_id", "i", "x", "y").groupBy("shape_id").applyInPandas(run, "shape_id long, valid boolean")
+    def run(y: np.ndarray, x: np.ndarray, c0: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> tuple:
+        h, w = int(np.ptp(y)) + 1, int(np.ptp(x)) + 1
+        at = np.full((h + 2, w + 2), -1)
+        yy, xx = y - y.min() + 1, x - x.min() + 1
+        at[yy, xx] = np.arange(len(y))
+        colour = np.stack([c0, c1, c2], axis=1).astype(float) / 255
+        if sigma > 0:
+            reach = max(1, int(4 * sigma + 0.5))
+            kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+            grid, there = np.zeros((h + 2, w + 2, 3)), (at >= 0).astype(float)
+            grid[yy, xx] = colour
+            for axis in (0, 1):
+                grid, there = (sum(k * _moved(v, d, axis) for d, k in zip(range(-reach, reach + 1), kernel)) for v in (grid, there))
+            colour = grid[yy, xx] / there[yy, xx][:, None]
+        edges = []
+        for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
+            a, b = at[1:-1, 1:-1].ravel(), at[1 + dy : h + 1 + dy, 1 + dx : w + 1 + dx].ravel()
+            ok = (a >= 0) & (b >= 0)
+            edges.append(np.stack([a[ok], b[ok]], axis=1))
+        e = np.concatenate(edges)
+        d = np.sqrt(((colour[e[:, 0]] - colour[e[:, 1]]) ** 2).sum(axis=1))
+        order = np.argsort(d, kind="stable")
+        parent, size, inner = list(range(len(y))), [1] * len(y), [scale / 255] * len(y)
+
+        def root(v: int) -> int:
+            while parent[v] != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        def merge(a: int, b: int) -> int:
+            a, b = min(a, b), max(a, b)
+            parent[b], size[a] = a, size[a] + size[b]
+            return a
+
+        pairs = e[order].tolist()
+        for (a, b), v in zip(pairs, d[order].tolist()):
+            a, b = root(a), root(b)
+            if a != b and v <= min(inner[a], inner[b]):
+                k = merge(a, b)
+                inner[k] = v + scale / 255 / size[k]
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            if a != b and min(size[a], size[b]) < least:
+                merge(a, b)
+        return y, x, np.unique([root(k) for k in range(len(y))], return_inverse=True)[1]
+
+    return each_shape(pixels, ["y", "x", "c0", "c1", "c2"], run, "image long, y int, x int, segment int", "image")
+
+
+def _moved(a: np.ndarray, by: int, axis: int) -> np.ndarray:
+    """``a`` moved along an axis, zeros coming in."""
+    out = np.zeros_like(a)
+    n = a.shape[axis]
+    if abs(by) < n:
+        to, of = [slice(None)] * a.ndim, [slice(None)] * a.ndim
+        to[axis], of[axis] = slice(max(0, by), n + min(0, by)), slice(max(0, -by), n - max(0, by))
+        out[tuple(to)] = a[tuple(of)]
+    return out
 
 
 def warped(points: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:

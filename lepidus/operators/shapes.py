@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -174,11 +174,26 @@ def mean_shape(points: DataFrame, most: int = 100, tolerance: float = 1e-5) -> p
         c.unpersist()
 
 
+def each_shape(points: DataFrame, names: list[str], run: Callable[..., tuple], schema: str, key: str = "shape_id") -> DataFrame:
+    """``run`` on the arrays ``names`` of each shape, in order of the first of them; it gives one array a column of ``schema``, whose first is the shape's key.  Shapes go to Python as rows, many to a batch."""
+    packed = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_p")).select(key, *[F.col("_p").getField(n).alias(n) for n in names])
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def go(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [(k, run(*arrays)) for k, *arrays in f.itertuples(index=False, name=None)]
+            sizes = [len(m[0]) for _, m in made]
+            values = [np.concatenate([np.asarray(m[c]) for _, m in made]) if made else [] for c in range(len(columns) - 1)]
+            yield pd.DataFrame(dict(zip(columns, [np.repeat([k for k, _ in made], sizes), *values])))
+
+    return packed.mapInPandas(go, schema)
+
+
 def hull(points: DataFrame) -> DataFrame:
-    """(shape_id, hull_area, hull_points) by a monotone chain; shapes of any number per call."""
+    """(shape_id, hull_area, hull_points) by a monotone chain."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = sorted({*zip(pdf.x.tolist(), pdf.y.tolist())})
+    def run(x: np.ndarray, y: np.ndarray) -> tuple:
+        p = sorted({*zip(x.tolist(), y.tolist())})
 
         def chain(ps: list) -> list:
             out: list = []
@@ -189,26 +204,24 @@ def hull(points: DataFrame) -> DataFrame:
             return out[:-1]
 
         h = chain(p) + chain(p[::-1]) if len(p) > 1 else p
-        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(h, h[1:] + h[:1]))) / 2
-        return pd.DataFrame({"shape_id": [pdf.shape_id.iloc[0]], "hull_area": [area], "hull_points": [len(h)]})
+        return [abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(h, h[1:] + h[:1]))) / 2], [len(h)]
 
-    return points.select("shape_id", "x", "y").groupBy("shape_id").applyInPandas(run, "shape_id long, hull_area double, hull_points int")
+    return each_shape(points, ["x", "y"], run, "shape_id long, hull_area double, hull_points int")
 
 
 def nearest_order(points: DataFrame) -> DataFrame:
     """Greedy nearest-neighbour order of each shape's points from its first: (shape_id, i, rank)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        xy, left, at, out = pdf[["x", "y"]].to_numpy(), np.ones(len(pdf), bool), 0, []
-        for _ in range(len(pdf)):
+    def run(i: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        xy, left, at, out = np.stack([x, y], axis=1), np.ones(len(x), bool), 0, []
+        for _ in range(len(x)):
             out.append(at)
             left[at] = False
             d = np.where(left, ((xy - xy[at]) ** 2).sum(axis=1), np.inf)
             at = int(d.argmin())
-        return pd.DataFrame({"shape_id": pdf.shape_id.to_numpy(), "i": pdf.i.to_numpy()[out], "rank": np.arange(len(out), dtype=np.int32)})
+        return i[out], np.arange(len(out), dtype=np.int32)
 
-    return points.groupBy("shape_id").applyInPandas(run, "shape_id long, i int, rank int")
+    return each_shape(points, ["i", "x", "y"], run, "shape_id long, i int, rank int")
 
 
 def back_transform(points: DataFrame, target: DataFrame) -> DataFrame:
@@ -225,9 +238,7 @@ def back_transform(points: DataFrame, target: DataFrame) -> DataFrame:
 def rasterised(polygons: DataFrame) -> DataFrame:
     """(shape_id, y, x0, x1): the runs of pixels whose centre is inside each polygon, even-odd, of (shape_id, i, x, y)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
+    def run(i: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
         nx, ny = np.roll(x, -1), np.roll(y, -1)
         out = []
         for row in range(int(np.floor(y.min())), int(np.ceil(y.max())) + 1):
@@ -239,9 +250,9 @@ def rasterised(polygons: DataFrame) -> DataFrame:
                 if hi >= lo:
                     out.append((row, lo, hi))
         o = np.array(out, np.int32).reshape(-1, 3)
-        return pd.DataFrame({"shape_id": np.full(len(o), pdf.shape_id.iloc[0]), "y": o[:, 0], "x0": o[:, 1], "x1": o[:, 2]})
+        return o[:, 0], o[:, 1], o[:, 2]
 
-    return polygons.groupBy("shape_id").applyInPandas(run, "shape_id long, y int, x0 int, x1 int")
+    return each_shape(polygons, ["i", "x", "y"], run, "shape_id long, y int, x0 int, x1 int")
 
 
 def thinned(masks: DataFrame) -> DataFrame:

@@ -84,6 +84,12 @@ def _(t: Tables) -> DataFrame:
     return raster.lightened(coco.first_of(p, ["image", "y", "x"], ["c0", "c1", "c2"]), tiles=2)
 
 
+@query("g25_segments")
+def _(t: Tables) -> DataFrame:
+    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), "c0", "c1", "c2")
+    return raster.segments(coco.first_of(p, ["image", "y", "x"], ["c0", "c1", "c2"]), least=5)
+
+
 @query("g25_without_shine")
 def _(t: Tables) -> DataFrame:
     return raster.without_shine(_picture(t).select("image", "y", "x", "v"))
