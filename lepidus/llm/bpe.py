@@ -238,4 +238,5 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the vocabulary, and whether decoding gives its text back."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -309,4 +309,5 @@ def packets(files: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets of every document, each laid out as a Matroska file and parsed again."""
     return packets(media(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -112,8 +112,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """pack() of ``docs``, at the production capacity."""
     return pack(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -304,4 +304,5 @@ SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of the documents that occurred before, and where."""
     return spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -179,4 +179,5 @@ def write(frames: DataFrame, folder: str) -> None:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in seekable bundles, a row a frame."""
     return bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -68,13 +68,21 @@ def test_chains_lose_no_pair_within_the_budget(bits):
     assert simhash.chained(np.packbits(x).view(np.uint64).reshape(1, 2)).all()
 
 
+def test_chains_followed_in_words_are_those_of_segments():
+    x = np.random.default_rng(3).integers(0, 2**63, (4000, 2), dtype=np.uint64) & np.random.default_rng(4).integers(0, 2**63, (4000, 2), dtype=np.uint64)
+    ones = np.bitwise_count(simhash._halves(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 16))).tolist()
+    want = [any(all(sum(c[(s + i) % 32] for i in range(n + 1)) <= (n + 1) * simhash.TAU // 32 for n in range(simhash.FILTER)) for s in range(32)) for c in ones]
+    got = simhash.chained(x).tolist()
+    assert got == want and 0 < sum(want) < len(want)
+
+
 @pytest.mark.parametrize("n", [10**5, 10**7, 10**9])
 def test_keys_keep_their_recall_as_they_grow(n):
     chain, rings = simhash.scheme(n)
-    assert 16**chain >= n and (n > 10**5 or (chain, rings) == (simhash.CHAIN, simhash.RINGS))
+    assert simhash.RUN * 16**chain >= n and (n > 10**5 or (chain, rings) == (simhash.CHAIN, simhash.RINGS))
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 2**63, (600, 2), dtype=np.uint64) * np.uint64(2)
-    for bits, least in ((12, 0.99), (16, 0.95), (simhash.TAU, 0.6)):
+    for bits, least in ((16, 0.99), (20, 0.98), (simhash.TAU, 0.9)):
         flip = np.zeros((len(fp), 128), np.uint8)
         np.put_along_axis(flip, rng.permuted(np.tile(np.arange(128), (len(fp), 1)), axis=1)[:, :bits], 1, axis=1)
         other = fp ^ np.packbits(flip, axis=1).view(np.uint64)
