@@ -257,33 +257,98 @@ def _moved(a: np.ndarray, by: int, axis: int) -> np.ndarray:
     return out
 
 
+def delaunay(p: np.ndarray) -> np.ndarray:
+    """int[k, 3]: the Delaunay triangles of distinct points, by adding one after the other (Bowyer and Watson); none where all lie on a line."""
+    n = len(p)
+    mid, span = p.mean(axis=0), max(float(np.ptp(p, axis=0).max()), 1e-9) * 1e4
+    q = np.concatenate([p, mid + span * np.array([[-3.0, -2.0], [3.0, -2.0], [0.0, 3.0]])])
+    tri = np.array([[n, n + 1, n + 2]])
+    for k in range(n):
+        a, b, c = q[tri[:, 0]] - q[k], q[tri[:, 1]] - q[k], q[tri[:, 2]] - q[k]
+        sq = lambda v: (v * v).sum(axis=1)
+        cross = lambda u, v: u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
+        # triangles turn left, so a point in the circle around one makes this positive
+        bad = sq(a) * cross(b, c) + sq(b) * cross(c, a) + sq(c) * cross(a, b) > 0
+        edges = tri[bad][:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
+        there = {tuple(e) for e in edges.tolist()}
+        rim = np.array([e for e in edges.tolist() if (e[1], e[0]) not in there]).reshape(-1, 2)
+        new = np.column_stack([rim, np.full(len(rim), k)])
+        tri = np.concatenate([tri[~bad], new])
+    tri = tri[(tri < n).all(axis=1)]
+    u, v = q[tri[:, 1]] - q[tri[:, 0]], q[tri[:, 2]] - q[tri[:, 0]]
+    return tri[np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) > 1e-12 * max(1.0, float(np.ptp(p, axis=0).max()) ** 2)] if len(tri) else tri
+
+
+def piecewise(xy: np.ndarray, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Points moved by the affine maps of the triangles of ``source`` that they lie in to the same triangles of ``target``; NaN outside of all."""
+    out = np.full((len(xy), 2), np.nan)
+    _, first = np.unique(source, axis=0, return_index=True)
+    first = np.sort(first)
+    tri = first[delaunay(source[first])] if len(first) > 2 else np.zeros((0, 3), int)
+    for a, b, c in tri:
+        e, f, d = source[b] - source[a], source[c] - source[a], xy - source[a]
+        det = e[0] * f[1] - e[1] * f[0]
+        u, v = (d[:, 0] * f[1] - d[:, 1] * f[0]) / det, (e[0] * d[:, 1] - e[1] * d[:, 0]) / det
+        inside = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9) & np.isnan(out[:, 0])
+        out[inside] = target[a] + u[inside, None] * (target[b] - target[a]) + v[inside, None] * (target[c] - target[a])
+    return out
+
+
+def _meshes(points: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """(shape_id, points, source, target) packed: arrays of structs in order of their numbers."""
+    role = lambda df, r, i, *more: df.select("shape_id", F.lit(r).alias("role"), F.struct(F.col(i).cast("int").alias("i"), "x", "y", *more).alias("p"))
+    pack = lambda df, name: df.groupBy("shape_id").agg(F.array_sort(F.collect_list("p")).alias(name))
+    own = role(points, "p", "k", *[c for c in points.columns if c not in ("shape_id", "k", "x", "y")])
+    return pack(own, "points").join(pack(role(source, "s", "i"), "source"), "shape_id").join(pack(role(target, "t", "i"), "target"), "shape_id")
+
+
+def _xy(rows: list) -> np.ndarray:
+    return np.array([(r["x"], r["y"]) for r in rows], float).reshape(-1, 2)
+
+
 def warped(points: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """(shape_id, k, x, y): points moved with the ring they lie in, by piecewise-affine maps of the fan of triangles around each ring's middle.
+    """(shape_id, k, x, y): points moved with the landmarks around them, by piecewise-affine maps of the Delaunay triangles of ``source``; points outside of these are left out.
 
-    points (shape_id, k, x, y); source and target are rings (shape_id, i, x, y) with the same numbers of points.
+    points (shape_id, k, x, y); source and target are landmarks (shape_id, i, x, y) with the same numbers.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = pdf[pdf.role == "s"].sort_values("i")[["x", "y"]].to_numpy()
-        goal = pdf[pdf.role == "t"].sort_values("i")[["x", "y"]].to_numpy()
-        p = pdf[pdf.role == "p"].sort_values("i")
-        xy, out = p[["x", "y"]].to_numpy(), np.full((len(p), 2), np.nan)
-        if len(ring) and len(ring) == len(goal):
-            m, g = ring.mean(axis=0), goal.mean(axis=0)
-            for k in range(len(ring)):
-                a, b = ring[k] - m, ring[(k + 1) % len(ring)] - m
-                det = a[0] * b[1] - a[1] * b[0]
-                if det == 0:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for shape, own, s, t in f.itertuples(index=False, name=None):
+                if len(s) == len(t):
+                    xy = piecewise(_xy(own), _xy(s), _xy(t))
+                    out += [(shape, r["i"], x, y) for r, (x, y) in zip(own, xy.tolist()) if x == x]
+            yield pd.DataFrame(out, columns=["shape_id", "k", "x", "y"])
+
+    return _meshes(points, source, target).mapInPandas(run, "shape_id long, k int, x double, y double")
+
+
+def warped_pictures(pixels: DataFrame, source: DataFrame, target: DataFrame, size: int = 500) -> DataFrame:
+    """(shape_id, y, x, c0, c1, c2): each picture redrawn in a square of ``size`` pixels that ``target`` fills, its landmarks where ``target`` has them.
+
+    pixels (shape_id, y, x, c0, c1, c2).  Every pixel of the square is taken back to the picture by the triangles of the target
+    and gets the nearest pixel's colour; those outside of the triangles, or of the picture, are left out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gy, gx = np.indices((size, size))
+        for f in frames:
+            for shape, own, s, t in f.itertuples(index=False, name=None):
+                s, t = _xy(s), _xy(t)
+                if len(s) != len(t) or not len(t):
                     continue
-                d = xy - m
-                u, v = (d[:, 0] * b[1] - d[:, 1] * b[0]) / det, (a[0] * d[:, 1] - a[1] * d[:, 0]) / det
-                inside = (u >= -1e-12) & (v >= -1e-12) & (u + v <= 1 + 1e-12) & np.isnan(out[:, 0])
-                out[inside] = g + u[inside, None] * (goal[k] - g) + v[inside, None] * (goal[(k + 1) % len(ring)] - g)
-        return pd.DataFrame({"shape_id": p.shape_id.to_numpy(), "k": p.i.to_numpy(), "x": out[:, 0], "y": out[:, 1]})
-
-    role = lambda df, r, i: df.select("shape_id", F.lit(r).alias("role"), F.col(i).cast("int").alias("i"), "x", "y")
-    all_ = role(points, "p", "k").unionByName(role(source, "s", "i")).unionByName(role(target, "t", "i"))
-    return all_.groupBy("shape_id").applyInPandas(run, "shape_id long, k int, x double, y double").where("x is not null and not isnan(x)")
+                low, span = t.min(axis=0), max(float(np.ptp(t, axis=0).max()), 1e-12)
+                grid = np.column_stack([gx.ravel(), gy.ravel()]) * (span / max(size - 1, 1)) + low
+                back = piecewise(grid, t, s)
+                ok = np.flatnonzero(~np.isnan(back[:, 0]))
+                x, y = np.rint(back[ok]).astype(np.int64).T
+                key = {(r["y"], r["x"]): (r["c0"], r["c1"], r["c2"]) for r in own}
+                got = [(shape, int(gy.ravel()[k]), int(gx.ravel()[k]), *key[b, a]) for k, a, b in zip(ok.tolist(), x.tolist(), y.tolist()) if (b, a) in key]
+                yield pd.DataFrame(got, columns=["shape_id", "y", "x", "c0", "c1", "c2"])
+
+    numbered = pixels.withColumn("k", F.lit(0))
+    return _meshes(numbered, source, target).mapInPandas(run, "shape_id long, y int, x int, c0 int, c1 int, c2 int")
 
 
 def equalised(pixels: DataFrame, channel: str = "v", tiles: int = 8, limit: float = 2.0, blend: bool = False, top: float = 255.0) -> DataFrame:
