@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lepidus.functions import colour as fc
-from lepidus.operators import coco, colours, detection, models, raster, shapes, vectors
+from lepidus.operators import coco, detection, models, raster, shapes, vectors
 from lepidus.plans import Tables, query
 from lepidus.plans.geometry import outlines
 from lepidus.plans.colour import HIST, PIX, inside, pixels
@@ -193,10 +193,15 @@ def _(t: Tables) -> DataFrame:
     return writers.keypoint_rows(a).select("id", F.col("k").cast("long").alias("k"), "x", "v")
 
 
-@query("k09_colour_records", f"WITH {HIST} SELECT sample AS sample_name, count(*) AS average_bins FROM hist GROUP BY 1")
+@query(
+    "k09_colour_records",
+    f"""WITH {HIST}, r AS (SELECT sample AS sample_name, round(avg(c0), 4) AS average_red, count(*) AS pixels FROM pix WHERE inside GROUP BY 1)
+ SELECT 'raw' AS kind, sample_name, average_red, NULL AS dominant_color_name, pixels FROM r UNION ALL SELECT 'readable', sample_name, NULL, CASE WHEN average_red > 128 THEN 'red' ELSE 'dark' END, pixels FROM r""",
+)
 def _(t: Tables) -> DataFrame:
-    r = colours.histogram(inside(t), "sample").groupBy(F.col("sample").alias("sample_name")).agg(F.count("*").alias("average_bins"), F.lit("brown").alias("dominant_color_name"))
-    return writers.colour_records(r)[1]
+    r = inside(t).groupBy(F.col("sample").alias("sample_name")).agg(F.round(F.avg("c0"), 4).alias("average_red"), F.count("*").alias("pixels"))
+    readable, raw = writers.colour_records(r.withColumn("dominant_color_name", F.when(F.col("average_red") > 128, "red").otherwise("dark")))
+    return raw.withColumn("kind", F.lit("raw")).unionByName(readable.withColumn("kind", F.lit("readable")), allowMissingColumns=True)
 
 
 @query("k11_category_counts", f"WITH {ANN} SELECT category_id, count(*) AS n FROM ann GROUP BY 1")
