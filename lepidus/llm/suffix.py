@@ -176,12 +176,14 @@ def crowded(content: DataFrame, length: int = LENGTH) -> DataFrame:
     """What classes() gives, a window a row, from an aggregate over the windows' hashes: for anchors of very many fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, w in enumerate(b.column(5).to_pylist()):
-                win = _text.windows(np.frombuffer(w, np.uint64), length).view(np.int64)
-                one = b.slice(k, 1).take(pa.array(np.zeros(len(win), np.int64)))
-                j = np.arange(len(win), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array(one.column(4).to_numpy() + j, pa.int32()), pa.array(j), pa.array(win)], names=["anchor", "frag", "id", "sub", "at", "j", "win"])
+        for b, data, at in _text.slices(batches, "words"):
+            h, first = np.frombuffer(data.tobytes(), np.uint64), at // 8
+            n = np.maximum(np.diff(first) - length + 1, 0)
+            k = np.repeat(np.arange(len(n)), n)
+            j = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            win = _text.windows(h, length)[first[k] + j].view(np.int64)
+            own = b.take(pa.array(k))
+            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array((own.column(4).to_numpy() + j).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(win)], names=["anchor", "frag", "id", "sub", "at", "j", "win"])
 
     each = written(content.mapInArrow(run, "anchor long, frag long, id long, sub long, at int, j int, win long"), "windows")
     first = each.groupBy("anchor", "win").agg(F.min(F.struct("id", "sub", "at")).alias("f"))
