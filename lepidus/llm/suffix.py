@@ -35,6 +35,7 @@ LENGTH = 50
 GRAM = 20
 SHARD = 400_000  # words to a shard's suffix array
 CROWD = 8_000  # distinct fragments of an anchor that one shard takes
+REMEMBERED = 100_000  # rows whose repeats a task passes over
 
 
 def _last_least(g: np.ndarray, w: int) -> np.ndarray:
@@ -175,6 +176,8 @@ def classes(content: DataFrame, length: int = LENGTH) -> DataFrame:
 def crowded(content: DataFrame, length: int = LENGTH) -> DataFrame:
     """What classes() gives, a window a row, from an aggregate over the windows' hashes: for anchors of very many fragments."""
 
+    names = ["anchor", "frag", "id", "sub", "at"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, at in _text.slices(batches, "words"):
             h, first = np.frombuffer(data.tobytes(), np.uint64), at // 8
@@ -182,7 +185,7 @@ def crowded(content: DataFrame, length: int = LENGTH) -> DataFrame:
             k = np.repeat(np.arange(len(n)), n)
             j = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
             win = _text.windows(h, length)[first[k] + j].view(np.int64)
-            own = b.take(pa.array(k))
+            own = b.select(names).take(pa.array(k))  # without the words, of which each window would get a copy
             yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array((own.column(4).to_numpy() + j).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(win)], names=["anchor", "frag", "id", "sub", "at", "j", "win"])
 
     each = written(content.mapInArrow(run, "anchor long, frag long, id long, sub long, at int, j int, win long"), "windows")
@@ -191,10 +194,26 @@ def crowded(content: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of ``wanted`` (anchor, frag, id, sub, at, size), one row each, from the texts: (anchor, frag, id, sub, at, words)."""
+    """The words of ``wanted`` (anchor, frag, id, sub, at, size) from the texts: (anchor, frag, id, sub, at, words).
+
+    Repeated rows of ``docs`` have the same words: a task gives those of one row and passes over the others it remembers, so
+    an anchor gets a row from each task at most, not one from each repeat.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, offsets in _text.slices(batches, "text"):
+        seen: set[tuple[int, int]] = set()
+
+        def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                new = np.zeros(b.num_rows, bool)
+                for k, row in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                    new[k] = row not in seen
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(row)
+                yield b if new.all() else b.filter(pa.array(new))
+
+        for b, data, offsets in _text.slices(unseen(batches), "text"):
             h, first = _words(data, offsets)
             asks = b.column(b.schema.get_field_index("asks"))
             at, size = asks.values.field("at").to_numpy(), asks.values.field("size").to_numpy()

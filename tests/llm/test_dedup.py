@@ -183,6 +183,22 @@ def test_crowded_anchors_give_the_same(spark, documents):
     assert spread(suffix.spans(df, crowd=3).collect(), suffix.LENGTH) == windows(df.collect(), suffix.LENGTH)
 
 
+def test_repeats_of_a_row_are_met_once(spark):
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    passage = fresh(60)
+    once = [(k, " ".join(fresh(20) + passage + fresh(20))) for k in range(1, 7)]
+    often = once + [once[0], once[3]] * 300
+    few, many = (spark.createDataFrame(rows, "doc_id long, text string").repartition(4) for rows in (once, often))
+    wanted = suffix.repeated(suffix.marks(few)).select("anchor", "frag", "id", "sub", "at", "size")
+    given = lambda df: suffix.contents(df, wanted)
+    assert set(map(tuple, given(many).collect())) == set(map(tuple, given(few).collect()))
+    # a row of each task at most, where each repeat gave one
+    assert given(few).count() <= given(many).count() <= 8 * given(few).count()
+    for crowd in (suffix.CROWD, 3):
+        assert sorted(map(tuple, suffix.spans(many, crowd=crowd).collect())) == sorted(map(tuple, suffix.spans(few).collect()))
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     rng = np.random.default_rng(8)
     fresh = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
