@@ -4,23 +4,22 @@ A text's fingerprint has 128 bits: the signs of the sums of its distinct words'
 counting twice.  Two texts are near copies if their fingerprints differ in at most ``TAU`` bits, and a group is a connected
 component of such pairs.
 
-The ring is the fingerprint's 32 segments of 4 bits.  By the pigeonring principle a pair within TAU has a segment from
-which every chain of l consecutive segments differs in at most l * TAU / 32 bits, so the first is equal in both; pairs
-without such a chain are pruned before the full Hamming check, and no true pair is lost by it.  Candidates are met through
-chains of segments that are equal in both, in any of several rings (fixed permutations of the bits), each cut into chains end
-to end.  Up to a million fingerprints these are chains of ``CHAIN`` segments (16-bit keys) in ``RINGS`` rings; beyond, keys grow
-by 4 bits for every factor of 16, so that unrelated texts that share a key stay few (``RUN``), and rings grow with them, so that
-the chance of meeting stays (``scheme``).
-The search is approximate; its recall is tested against brute force.  There is no cap on partners: a long run of one key is
-searched breadth first, all not yet reached against each one reached, and gives a spanning forest of its pairs, which has the
-same components.
+The search is exact.  By the pigeonhole principle a pair within TAU has one of the 8 segments of 16 bits within that segment's
+budget, budgets being whole numbers of which each, raised by one, make TAU + 1 together (``budgets``): rows meet that are equal in
+a segment, or whose segments differ by a mask of at most as many bits.  The pigeonring principle says more: some such segment
+has all its chains of l segments within their budgets' sum plus l - 1, so of the rows that meet only those pass whose chain of
+half the ring, one word, is within that; then come the chains of 1 to ``FILTER`` of the 32 segments of 4 bits, each within
+l * TAU / 32 bits, and the full Hamming check.  No true pair is lost by any of these.
+
+Fingerprints are dealt into blocks and every pair of blocks is one task, so there is no bucket to cap.  Rows equal in a segment
+are searched first, long runs breadth first.  Rows of one group of more than ``_LONG_RUN`` aren't compared with each other again,
+so such a crowd of near copies isn't expanded into all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +31,15 @@ from lepidus.llm import _text
 from lepidus.llm.shared import components, written
 
 TAU = 24
-RINGS = 12
 SEGMENTS = 32
-CHAIN = 4
+CHAIN = 4  # segments in a key
+KEYS = SEGMENTS // CHAIN
+BLOCK = 1 << 20  # fingerprints that one side of a task holds at most
 FILTER = 8  # segments to which the chains are followed
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 _FIVES, _THREES, _LOW_HALF, _HIGH_BITS = (np.uint64(k * 0x0101010101010101) for k in (0x55, 0x33, 0x0F, 0x80))
 _LONG_RUN = 64
-RUN = 16  # unrelated fingerprints that may share a key, on average
+_ROWS = 1 << 16  # rows looked at in one step
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,31 +71,22 @@ def _halves(b: np.ndarray) -> np.ndarray:
     return np.stack([b >> 4, b & 15], axis=2).reshape(len(b), SEGMENTS)
 
 
-def scheme(n: int, tau: int = TAU) -> tuple[int, int]:
-    """(segments in a key, rings) for n fingerprints: a pair at ``tau`` is met with the same chance at every n."""
-    chain = CHAIN
-    while RUN * 16**chain < n:
-        chain += 1
-    equal = lambda c: comb(128 - tau, 4 * c) / comb(128, 4 * c)
-    return chain, ceil(RINGS * (SEGMENTS // CHAIN) * equal(CHAIN) / equal(chain) / (SEGMENTS // chain))
+def keys(fp: np.ndarray) -> np.ndarray:
+    """int64[n, KEYS]: the chains of ``CHAIN`` segments, end to end."""
+    return fp.view(">u2").astype(np.int64)
 
 
-@cache
-def _turn(ring: int) -> np.ndarray:
-    return np.random.default_rng(ring).permutation(128) if ring else np.arange(128)
+def budgets(tau: int = TAU) -> list[int]:
+    """Bits in which each key may differ: a pair within ``tau`` has one within its budget (-1: that key isn't needed)."""
+    each, more = divmod(tau - KEYS + 1, KEYS)
+    return [each + (k < more) for k in range(KEYS)]
 
 
-def keys(fp: np.ndarray, chain: int = CHAIN, rings: int = RINGS) -> np.ndarray:
-    """int64[n, k]: the chains of ``chain`` segments, end to end, of every ring."""
-    bits, each = np.unpackbits(fp.view(np.uint8), axis=1), SEGMENTS // chain
-    out = []
-    for r in range(rings):
-        seg = _halves(np.packbits(bits[:, _turn(r)], axis=1)).astype(np.int64)[:, : each * chain].reshape(len(fp), each, chain)
-        value = np.zeros((len(fp), each), np.int64)
-        for k in range(chain):
-            value = value << 4 | seg[:, :, k]
-        out.append(value | (np.arange(each) + r * each) << 4 * chain)
-    return np.concatenate(out, axis=1)
+@cache
+def _masks(bits: int) -> np.ndarray:
+    """The differences of keys that aren't equal and differ in at most ``bits`` bits."""
+    x = np.arange(1, 1 << 4 * CHAIN)
+    return x[np.bitwise_count(x) <= bits]
 
 
 def _nibbles(x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -184,6 +175,101 @@ def _linked(key: np.ndarray, node: np.ndarray, fp: np.ndarray, tau: int) -> tupl
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each row's least row of its group, when a[k] and b[k] are linked besides what ``label`` has."""
+    while True:
+        a, b = label[a], label[b]
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, end to end."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def grouped(fp: np.ndarray, side: np.ndarray | None = None, tau: int = TAU) -> np.ndarray:
+    """Of distinct fingerprints: each one's least row of its group.
+
+    With ``side`` (0 or 1 a row), pairs of one side may be passed over: other tasks look at them.
+    """
+    n = len(fp)
+    key, label, all_rows = keys(fp), np.arange(n), np.arange(n)
+    for k in range(KEYS):
+        order = np.argsort(key[:, k], kind="stable")
+        label = _labels(label, *_linked(key[order, k], order, fp[order], tau))
+    near_in, ring = budgets(tau), np.tile(fp.view(np.uint8), 2)
+    mine, others = (all_rows, all_rows) if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for k in range(KEYS):
+        masks = _masks(near_in[k]).astype(np.int32)
+        if not len(masks):
+            continue
+        half = np.ascontiguousarray(ring[:, 2 * k : 2 * k + 8]).view(np.uint64)[:, 0]
+        most = sum(near_in[(k + j) % KEYS] for j in range(KEYS // 2)) + KEYS // 2 - 1
+        met = others[np.argsort(key[others, k], kind="stable")]
+        size = np.bincount(key[met, k], minlength=1 << 4 * CHAIN)
+        start = np.cumsum(size) - size
+        # cells of equal keys, each crowd's its own, the largest first
+        crowd = np.where(np.bincount(label, minlength=n)[label] > _LONG_RUN, label, -1)
+        rows = mine[np.lexsort((crowd[mine], key[mine, k]))]
+        edge = np.flatnonzero(np.concatenate([[True], (key[rows[1:], k] != key[rows[:-1], k]) | (crowd[rows[1:]] != crowd[rows[:-1]])])[: len(rows)])
+        count = np.diff(np.append(edge, len(rows)))
+        large = np.argsort(-count, kind="stable")
+        edge, count = edge[large], count[large]
+        value, own = key[rows[edge], k].astype(np.int32), crowd[rows[edge]]
+        a, b, found = [], [], 0
+        step = max(1, 4 * _ROWS // len(masks))
+        for lo in range(0, len(edge), step):
+            to = value[lo : lo + step, None] ^ masks
+            many = size[to]
+            if side is None:
+                many[to < value[lo : lo + step, None]] = 0  # met from the other cell
+            total = np.cumsum(many.sum(axis=1))
+            first = 0
+            while first < len(total):
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + _ROWS, side="right")))
+                some = np.nonzero(many[first:last])
+                width = many[first:last][some]
+                j = met[_ranges(start[to[first:last][some]], width)]
+                cell = np.repeat(some[0] + lo + first, width)
+                first = last
+                if (own[cell] >= 0).any():
+                    new = (own[cell] < 0) | (crowd[j] != own[cell])
+                    j, cell = j[new], cell[new]
+                if not len(j):
+                    continue
+                at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                cell, width = cell[at], np.diff(np.append(at, len(j)))
+                end, word = np.cumsum(width), half[j]
+                for turn in range(int(count[cell[0]])):
+                    cells = int(np.searchsorted(-count[cell], -turn))  # those that have so many rows
+                    i = rows[edge[cell[:cells]] + turn]
+                    hit = np.flatnonzero(np.bitwise_count(word[: end[cells - 1]] ^ np.repeat(half[i], width[:cells])) <= most)
+                    if len(hit):
+                        i, hit = i[np.searchsorted(end, hit, side="right")], j[hit]
+                        ok = np.bitwise_count(fp[i] ^ fp[hit]).sum(axis=1) <= tau
+                        a.append(i[ok])
+                        b.append(hit[ok])
+                        found += len(a[-1])
+                        if found > 1 << 20:
+                            a, b, found = *_tree(n, a, b), 0
+        if a:
+            label = _labels(label, np.concatenate(a), np.concatenate(b))
+    return label
+
+
+def _tree(n: int, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Fewer links of the same groups."""
+    label = _labels(np.arange(n), np.concatenate(a), np.concatenate(b))
+    rest = np.flatnonzero(label != np.arange(n))
+    return [rest], [label[rest]]
+
+
 def fingerprinted(docs: DataFrame, f0: str = "f0", f1: str = "f1") -> DataFrame:
     """``docs`` with the halves of each text's fingerprint; null where there is no id or no word."""
 
@@ -201,45 +287,43 @@ def table(docs: DataFrame) -> DataFrame:
     return fingerprinted(docs.select("doc_id", "text")).where("f0 is not null").select(F.col("doc_id").alias("id"), "f0", "f1")
 
 
-def pairs(prints: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): pairs of the nodes of ``prints`` (node, f0, f1) within ``tau``, enough of them to connect every group."""
-    chain, rings = scheme(prints.count(), tau)
-    step = max(1, 2048 * RINGS // rings)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, step):
-                b = whole.slice(lo, step)
-                fp = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], axis=1).view(np.uint64)
-                k = keys(fp, chain, rings)
-                i = np.repeat(np.arange(len(k)), k.shape[1])
-                t = b.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *t.columns], names=["key", "node", "f0", "f1"])
+def blocks(n: int) -> int:
+    """Blocks into which n fingerprints are dealt: at most ``BLOCK`` each, and up to 8 where that leaves 2**16 to each."""
+    return max(1, -(-n // BLOCK), min(8, -(-n // (1 << 16))))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def out(bs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(bs)
-            key, node, f0, f1 = (t.column(k).to_numpy() for k in range(4))
-            a, b = _linked(key, node, np.stack([f0, f1], axis=1).view(np.uint64), tau)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def pairs(prints: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b): links of the nodes of ``prints`` (node, f0, f1) that join all pairs within ``tau``, and no others, into groups."""
+    n = blocks(prints.count())
+    tasks = [(x, y) for x in range(n) for y in range(x, n)]
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = [np.array([k for k, t in enumerate(tasks) if x in t]) for x in range(n)]
         for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1]))  # the run that may go on in the next batch
-            if last:
-                yield from out([*held, b.slice(0, last)])
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield from out(held)
-
-    indexed = prints.mapInArrow(index, "key long, node long, f0 long, f1 long")
-    return indexed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+            block = (_text.mix(b.column(0).to_numpy().view(np.uint64), 5) % np.uint64(n)).astype(np.int64)
+            for x in range(n):
+                i = np.flatnonzero(block == x)
+                for task in of[x].tolist():
+                    side = pa.array(np.full(len(i), tasks[task][0] != x))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), task, np.int32)), side, *b.take(pa.array(i)).columns], names=["task", "side", "node", "f0", "f1"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        all_tasks, *columns = (pa.chunked_array([b.column(k) for b in held]).to_numpy() for k in range(5))
+        for task in np.unique(all_tasks).tolist():
+            side, node, f0, f1 = (c[all_tasks == task] for c in columns)
+            alone = tasks[task][0] == tasks[task][1]
+            label = grouped(np.stack([f0, f1], axis=1).view(np.uint64), None if alone else side.astype(np.int8), tau)
+            rest = np.flatnonzero(label != np.arange(len(label)))
+            a, b = node[rest], node[label[rest]]
+            for lo in range(0, len(a), _ROWS):
+                x, y = a[lo : lo + _ROWS], b[lo : lo + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    dealt = prints.mapInArrow(deal, "task int, side boolean, node long, f0 long, f1 long")
+    return dealt.repartitionById(len(tasks), F.col("task")).mapInArrow(meet, "a long, b long").distinct()
 
 
 def copies(docs: DataFrame, tau: int = TAU) -> DataFrame:
