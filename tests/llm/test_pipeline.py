@@ -1,5 +1,8 @@
 """The pipeline on small tables, stage by stage against the operators' own decisions."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lepidus.llm import entries, quality, simhash, suffix, toxicity
 
@@ -57,5 +60,24 @@ def test_run_judges_rows_of_one_id_by_their_texts(spark, labels, tmp_path):
     assert sorted((r.doc_id, r.n_words) for r in got) == [(1, 60), (2, 70), (2, 90)]
 
 
+def test_simhash_stage_leaves_no_two_rows_within_the_bits(spark, monkeypatch):
+    # 400 pairs at just the threshold, fingerprints laid under the texts' numbers
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 2**63, (400, 2), dtype=np.uint64)
+    flip = np.zeros((400, 128), np.uint8)
+    np.put_along_axis(flip, rng.permuted(np.tile(np.arange(128), (400, 1)), axis=1)[:, : simhash.TAU], 1, axis=1)
+    both = np.concatenate([fp, fp ^ np.packbits(flip, axis=1).view(np.uint64)]).view(np.int64).tolist()
+    laid = spark.createDataFrame([(k, *v) for k, v in enumerate(both)], "n long, f0 long, f1 long")
+
+    def fingerprinted(docs, f0="f0", f1="f1"):
+        named = laid.select(F.col("n").alias("laid_n"), F.col("f0").alias(f0), F.col("f1").alias(f1))
+        return docs.join(named, F.col("text").cast("long") == F.col("laid_n")).drop("laid_n")
+
+    monkeypatch.setattr(simhash, "fingerprinted", fingerprinted)
+    docs = spark.createDataFrame([(k, str(k)) for k in range(800)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == list(range(400))
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in entries.queries()) == list(range(1, 11))
