@@ -212,8 +212,12 @@ def _(t: Tables) -> DataFrame:
     c = shapes.centred(points(t))
     back = c.join(shapes.back_transform(c, points(t)), "shape_id")
     co, si = F.cos("angle") * F.col("scale"), F.sin("angle") * F.col("scale")
-    p = back.select("shape_id", "i", (F.col("x") * co - F.col("y") * si + F.col("dx")).alias("x"), (F.col("x") * si + F.col("y") * co + F.col("dy")).alias("y"))
-    return writers.landmark_annotations(p).select("id", F.transform("keypoints", lambda v: F.round(v, 4)).alias("keypoints"))
+    # what the transform's own rounding leaves of a zero has no sign
+    noise = F.lit(1e-14) * (F.col("scale") + F.abs("dx") + F.abs("dy"))
+    whole = lambda v: F.when(F.abs(v) < noise, 0.0).otherwise(v)
+    p = back.select("shape_id", "i", whole(F.col("x") * co - F.col("y") * si + F.col("dx")).alias("x"), whole(F.col("x") * si + F.col("y") * co + F.col("dy")).alias("y"))
+    # round() gives 0.0 for what is just below zero, SQL's -0.0
+    return writers.landmark_annotations(p).select("id", F.transform("keypoints", lambda v: F.when(v < 0, -F.round(-v, 4)).otherwise(F.round(v, 4))).alias("keypoints"))
 
 
 @query("k08_k10_result_tables", f"""WITH {TOK}, w AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM tok) GROUP BY 1)

@@ -1,11 +1,14 @@
 import json
+import math
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lepidus import plans
 from lepidus.operators import assemble, coco, models
 from lepidus.sources import headers, readers, writers
 from lepidus.streaming import ingest
@@ -167,3 +170,15 @@ def test_sheets(spark, tmp_path):
     assert [(r.pos, r.block) for r in blocks.collect()] == [(0, "a"), (2, "b")]
     assert spark.range(1).select(assemble.substituted(F.lit("x [T] y"), "[T]", F.lit("z"))).first()[0] == "x z y"
     assert [r.word for r in writers.word_frequencies(spark.createDataFrame([("a", 1), ("b", 2)], "word string, n int")).collect()] == ["b", "a"]
+
+
+def test_back_transformed_keeps_the_sign_of_zero(spark, tmp_path):
+    plans.load()
+    rows = [(k, [math.sin(k + j * j) / 4 for j in range(64)]) for k in range(3)]
+    rows[1][1][5], rows[2][1][10], rows[2][1][11] = -3e-5, 3e-5, -0.25
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.id: list(map(repr, r.keypoints)) for r in plans.QUERIES["k06_back_transformed"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {k: list(map(repr, v)) for k, v in con.execute(plans.SQL["k06_back_transformed"]).fetchall()}
+    assert got == want and want[1][7] == "-0.0" and want[2][15] == "0.0"
