@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lepidus.llm import _text
-from lepidus.llm.shared import components, written
+from lepidus.llm.shared import components, numbered, written
 
 TAU = 24
 SEGMENTS = 32
@@ -43,11 +43,12 @@ _ROWS = 1 << 16  # rows looked at in one step
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(uint64[n, 2], whether the text has words)."""
+    """(uint64[n, 2], whether the text has words).  Where a text has only signs, its runs of signs are its words."""
     n = len(at) - 1
     data = _text.lower(data)
     s, e, doc = _text.tokens(data, at)
     word = _text.CLASSES[data[s]] == 1
+    word |= (np.bincount(doc[word], minlength=n) == 0)[doc]
     s, e, doc = s[word], e[word], doc[word]
     h = _text.hashes(data, s, e)
     key = (doc.astype(np.uint64) << np.uint64(47)) | ((h >> np.uint64(18)) << np.uint64(1)) | (e - s > 3).astype(np.uint64)
@@ -271,20 +272,22 @@ def _tree(n: int, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.nda
 
 
 def fingerprinted(docs: DataFrame, f0: str = "f0", f1: str = "f1") -> DataFrame:
-    """``docs`` with the halves of each text's fingerprint; null where there is no id or no word."""
+    """``docs`` with the halves of each text's fingerprint; null where there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, at in _text.slices(batches, "text", rows=4096):
             fp, some = fingerprints(data, at)
-            fp, none = fp.view(np.int64), ~some | b.column(b.schema.get_field_index("doc_id")).is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp[:, 0], mask=none), pa.array(fp[:, 1], mask=none)], names=[*b.schema.names, f0, f1])
+            fp = fp.view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp[:, 0], mask=~some), pa.array(fp[:, 1], mask=~some)], names=[*b.schema.names, f0, f1])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(f0, "long").add(f1, "long"))
 
 
-def table(docs: DataFrame) -> DataFrame:
-    """(id, f0, f1) of every row with an id and at least one word."""
-    return fingerprinted(docs.select("doc_id", "text")).where("f0 is not null").select(F.col("doc_id").alias("id"), "f0", "f1")
+def table(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(id, row, f0, f1) of every row with at least one word and an id, or else a number of its own in the column ``row``."""
+    number = F.col(row) if row else F.lit(None).cast("long")
+    mine = docs.select("doc_id", "text", number.alias("row")).where("doc_id is not null or row is not null")
+    return fingerprinted(mine).where("f0 is not null").select(F.col("doc_id").alias("id"), "row", "f0", "f1")
 
 
 def blocks(n: int) -> int:
@@ -326,23 +329,28 @@ def pairs(prints: DataFrame, tau: int = TAU) -> DataFrame:
     return dealt.repartitionById(len(tasks), F.col("task")).mapInArrow(meet, "a long, b long").distinct()
 
 
-def copies(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """(id, f0, f1, keep_id) of every text that isn't its group's first, by (doc_id, fingerprint); keep_id is the first's doc_id."""
-    prints = written(table(docs), "prints")
-    nodes = prints.groupBy("f0", "f1").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+def copies(docs: DataFrame, tau: int = TAU, row: str | None = None) -> DataFrame:
+    """(id, row, f0, f1, keep_id) of every text of table() that isn't its group's first; keep_id is the first's doc_id.
+
+    First are those with an id, by (doc_id, fingerprint), then those without, by (row, fingerprint).
+    """
+    prints = written(table(docs, row), "prints")
+    least = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("least")
+    nodes = prints.groupBy("f0", "f1").agg(least).withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")
     root = components(pairs(nodes.select("node", "f0", "f1"), tau))
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("least").alias("id"), "f0", "f1")).alias("first"))
-    each = named.join(first, "root").select("f0", "f1", "first")
-    return prints.join(each, ["f0", "f1"]).where("struct(id, f0, f1) <> first").select("id", "f0", "f1", F.col("first.id").alias("keep_id")).distinct()
+    first = named.groupBy("root").agg(F.min(F.struct("least", "f0", "f1")).alias("first"))
+    each = named.join(first, "root").select("f0", "f1", F.col("first.least.id").alias("id0"), F.col("first.least.row").alias("row0"), F.col("first.f0").alias("f2"), F.col("first.f1").alias("f3"))
+    gone = prints.join(each, ["f0", "f1"]).where("not (id <=> id0 and row <=> row0 and f0 = f2 and f1 = f3)")
+    return gone.select("id", "row", "f0", "f1", F.col("id0").alias("keep_id")).distinct()
 
 
 def groups(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """(doc_id, keep_id) of every document that is a near copy of another and isn't its group's least id, keep_id.
 
-    Null ids and texts without words (null, empty, only blanks or signs) are in no group.  Repeated rows (same id, same
-    words) are one document; rows of one doc_id with different texts are grouped each by its own text, and such a doc_id
+    Null ids (stage() groups their rows too) and texts without words (null, empty, only blanks) are in no group.  Repeated
+    rows (same id, same words) are one document; rows of one doc_id with different texts are grouped each by its own text, and such a doc_id
     has a row for every group in which it isn't the least.  Texts with the same words have the same fingerprint and are one
     node of the search, however many they are.  Other columns are ignored; an empty table gives no rows.
     """
@@ -352,13 +360,17 @@ def groups(docs: DataFrame, tau: int = TAU) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the near copies: one document of each group stays.
 
-    A row goes or stays by its own text, whatever other rows its doc_id has.  Rows that are in no group stay, with null ids
-    and texts as they are; of several texts of one doc_id in one group one stays, and repeated rows of it stay repeated.
+    A row goes or stays by its own text, whatever other rows its doc_id has.  A row without an id is a document of its own: it
+    goes if its group has one with an id, or an earlier one without.  Rows that are in no group stay, null and blank texts among
+    them; of several texts of one doc_id in one group one stays, and repeated rows of it stay repeated.
     """
-    f0, f1 = _text.fresh(docs.columns, "f0"), _text.fresh(docs.columns, "f1")
-    gone = copies(docs).select(F.col("id").alias("gone_id"), F.col("f0").alias("gone_0"), F.col("f1").alias("gone_1"))
-    mine = fingerprinted(docs, f0, f1)
-    return mine.join(gone, (mine["doc_id"] == gone["gone_id"]) & (mine[f0] == gone["gone_0"]) & (mine[f1] == gone["gone_1"]), "left_anti").drop(f0, f1)
+    row = _text.fresh(docs.columns, "row")
+    all_ = numbered(docs, row)
+    f0, f1 = (_text.fresh(all_.columns, f) for f in ("f0", "f1"))
+    gone = copies(all_, row=row).select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row"), F.col("f0").alias("gone_0"), F.col("f1").alias("gone_1"))
+    mine = fingerprinted(all_, f0, f1)
+    same = mine["doc_id"].eqNullSafe(gone["gone_id"]) & mine[row].eqNullSafe(gone["gone_row"]) & (mine[f0] == gone["gone_0"]) & (mine[f1] == gone["gone_1"])
+    return mine.join(gone, same, "left_anti").drop(row, f0, f1)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ than ``CROWD`` distinct fragments (a short passage that very many texts have, ea
 one shard: its fragments' windows meet by a hash of all their words, in an aggregate, which gives the same result.
 
 Nothing is sampled or capped.  Words are told apart by hashes of 64 bits, spans of words by hashes of these.  A row is known
-by its doc_id and a hash of its text, so rows that share a doc_id don't mix.
+by its doc_id and a hash of its text, so rows that share a doc_id don't mix; stage() knows a row without one by a number.
 """
 
 from __future__ import annotations
@@ -29,12 +29,13 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lepidus.llm import _text, induced
-from lepidus.llm.shared import forget, written
+from lepidus.llm.shared import forget, numbered, written
 
 LENGTH = 50
 GRAM = 20
 SHARD = 400_000  # words to a shard's suffix array
 CROWD = 8_000  # distinct fragments of an anchor that one shard takes
+LAST = (1 << 63) - 1  # stands for the id that a row of the pipeline hasn't; the row's number is its sub
 REMEMBERED = 100_000  # rows whose repeats a task passes over
 
 
@@ -88,6 +89,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(anchor, frag, id, sub, at, size) of every fragment of every text."""
+    return _marks(_rows(docs), length, gram)
+
+
+def _marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """marks() of what _rows() gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in _text.slices(batches, "text"):
@@ -99,7 +105,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 [pa.array(anchor.view(np.int64)), pa.array(frag.view(np.int64)), pa.array(ids), pa.array(subs), pa.array((begin - first[doc]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["anchor", "frag", "id", "sub", "at", "size"]
             )
 
-    return _rows(docs).mapInArrow(run, "anchor long, frag long, id long, sub long, at int, size int")
+    return rows.mapInArrow(run, "anchor long, frag long, id long, sub long, at int, size int")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -199,6 +205,11 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     Repeated rows of ``docs`` have the same words: a task gives those of one row and passes over the others it remembers, so
     an anchor gets a row from each task at most, not one from each repeat.
     """
+    return _contents(_rows(docs), wanted)
+
+
+def _contents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """contents() of what _rows() gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -226,13 +237,13 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([f.field("anchor"), f.field("frag"), b.column(0).take(pa.array(k)), b.column(1).take(pa.array(k)), f.field("at"), pa.array(cut, pa.binary())], names=["anchor", "frag", "id", "sub", "at", "words"])
 
     asked = wanted.groupBy(F.col("id").alias("asked_id"), F.col("sub").alias("asked_sub")).agg(F.collect_list(F.struct("anchor", "frag", "at", "size")).alias("asks"))
-    joined = _rows(docs).join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("sub") == F.col("asked_sub"))).select("doc_id", "sub", "text", "asks")
+    joined = rows.join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("sub") == F.col("asked_sub"))).select("doc_id", "sub", "text", "asks")
     return joined.mapInArrow(run, "anchor long, frag long, id long, sub long, at int, words binary")
 
 
 def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """spans() with ``sub``, the hash of the row's text."""
-    found = written(marks(docs, length, gram), "marks")
+    """spans() of what _rows() gives, with ``sub``."""
+    found = written(_marks(docs, length, gram), "marks")
     rows = written(repeated(found), "repeated")
     forget(found)
     key, place = ["anchor", "frag"], F.struct("id", "sub", "at")
@@ -242,9 +253,9 @@ def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     wanted = leads.where("mixed").select(*key, "f.id", "f.sub", "f.at", "size")
     hot = written(wanted.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor"), "crowds")
     some = bool(hot.head(1))
-    same = classes(contents(docs, wanted.join(hot, "anchor", "left_anti") if some else wanted), length)
+    same = classes(_contents(docs, wanted.join(hot, "anchor", "left_anti") if some else wanted), length)
     if some:
-        same = same.unionByName(crowded(contents(docs, wanted.join(hot, "anchor", "left_semi")), length))
+        same = same.unionByName(crowded(_contents(docs, wanted.join(hot, "anchor", "left_semi")), length))
     mixed = rows.where("mixed").select(*key, "id", "sub", "at").join(same, key).select("id", "sub", (F.col("at") + F.col("j")).alias("start"), "n", "id0", "sub0", "at0")
     both = plain.unionByName(mixed).where("id <> id0 or sub <> sub0 or start <> at0").distinct()
     # windows start .. start + n - 1 repeat those from at0 on: those that follow on along one diagonal are one span
@@ -261,25 +272,27 @@ def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(doc_id, start, n_words, first_doc_id, first_start): every maximal passage that occurred before, and where.
 
-    Null ids are left out (stage() keeps their rows as they are), as are texts of under ``length`` words (null and empty ones
+    Null ids are left out (stage() takes their rows too), as are texts of under ``length`` words (null and empty ones
     too).  Of rows with the same doc_id and text, each passage has one place and isn't a repeat of itself; rows of one doc_id
     with different texts are told apart, and the one whose text has the lower hash comes before the other.  Of several
     earlier places the first counts, so a copied stretch may be several spans, which then overlap by up to length - 1 words.
     Other columns are ignored; an empty table gives no rows.
     """
-    return _spans(docs, length, gram, crowd).drop("sub")
+    return _spans(_rows(docs), length, gram, crowd).drop("sub")
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the words that repeat an earlier passage; a row of which nothing is left goes.  n_chars follows the text.
 
-    A row is cut by its own text's spans, whatever other rows its doc_id has; repeated rows are cut alike.  Rows without an id
-    and texts without a repeated passage stay as they are.
+    A row is cut by its own text's spans, whatever other rows its doc_id has; repeated rows are cut alike.  A row without an id
+    is a document of its own, after all that have one.  Texts without a repeated passage stay as they are.
     """
-    cut = _text.fresh(docs.columns, "cuts")
-    cuts = _spans(docs).groupBy(F.col("doc_id").alias("cut_id"), F.col("sub").alias("cut_sub")).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
-    own = (docs["doc_id"] == cuts["cut_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cuts["cut_sub"])
-    joined = docs.join(cuts, own, "left").select(*[docs[c] for c in docs.columns], cuts[cut])
+    cut, row = (_text.fresh(docs.columns, c) for c in ("cuts", "row"))
+    all_ = numbered(docs, row)
+    text = F.coalesce(all_["text"], F.lit(""))
+    known, sub = F.coalesce(all_["doc_id"], F.lit(LAST)), F.coalesce(all_[row], F.xxhash64(text))
+    cuts = _spans(all_.select(known.alias("doc_id"), sub.alias("sub"), text.alias("text"))).groupBy(F.col("doc_id").alias("cut_id"), F.col("sub").alias("cut_sub")).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
+    joined = all_.join(cuts, (known == cuts["cut_id"]) & (sub == cuts["cut_sub"]), "left").select(*[all_[c] for c in docs.columns], cuts[cut])
     schema = StructType([*docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

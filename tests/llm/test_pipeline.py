@@ -79,5 +79,25 @@ def test_simhash_stage_leaves_no_two_rows_within_the_bits(spark, monkeypatch):
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == list(range(400))
 
 
+def test_rows_without_an_id_and_texts_of_signs_are_judged_by_their_texts(spark, labels, tmp_path):
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    x, y, p = words("x", 40), words("y", 200), words("p", 60)
+    rows = [(None, x)] * 3 + [(5, x)]  # the one with an id stays
+    rows += [(None, y), (None, y + " z"), (None, y)]  # one stays, whichever
+    rows += [(8, "--- *** ---"), (9, "--- *** ---"), (10, "+++"), (None, "+++")]
+    rows += [(None, f"{words('a', 70)} {p}"), (None, f"{words('b', 80)} {p}"), (12, f"{words('c', 90)} {p}")]  # 12 keeps the passage
+    docs = spark.createDataFrame(rows + [(None, None), (None, ""), (None, " ")], "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.run(spark, tables(spark, docs, labels.where("false"), tmp_path / "f")).collect()
+    key = lambda v: (v[0] is None, v)
+    got = sorted(((r.doc_id, r.n_words) for r in got), key=key)
+    assert [v for v in got if v[0]] == [(5, 40), (8, 3), (10, 1), (12, 150)]
+    n = [v[1] for v in got if v[0] is None]
+    assert n[:2] == [70, 80] and n[2] in (200, 201) and len(n) == 3
+    left = simhash.stage(spark, docs)
+    assert left.columns == docs.columns and left.where("text is null or trim(text) = ''").count() == 3
+    assert sorted((simhash.groups(docs).collect())) == [(9, 8)]
+    assert {r.doc_id for r in suffix.spans(docs).collect()} == set()
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in entries.queries()) == list(range(1, 11))
