@@ -242,7 +242,7 @@ def _contents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """spans() of what _rows() gives, with ``sub``."""
+    """spans() of what _rows() gives, with ``sub`` and the first row's, ``first_sub``."""
     found = written(_marks(docs, length, gram), "marks")
     rows = written(repeated(found), "repeated")
     forget(found)
@@ -266,7 +266,7 @@ def _spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     one = one.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1))
     one = one.withColumn("part", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     got = one.groupBy(*line, "part").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"))
-    return got.select(F.col("id").alias("doc_id"), "sub", "start", (F.col("stop") - F.col("start") + length - 1).alias("n_words"), F.col("id0").alias("first_doc_id"), (F.col("start") - F.col("shift")).alias("first_start"))
+    return got.select(F.col("id").alias("doc_id"), "sub", "start", (F.col("stop") - F.col("start") + length - 1).alias("n_words"), F.col("id0").alias("first_doc_id"), F.col("sub0").alias("first_sub"), (F.col("start") - F.col("shift")).alias("first_start"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -278,21 +278,27 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     earlier places the first counts, so a copied stretch may be several spans, which then overlap by up to length - 1 words.
     Other columns are ignored; an empty table gives no rows.
     """
-    return _spans(_rows(docs), length, gram, crowd).drop("sub")
+    return _spans(_rows(docs), length, gram, crowd).drop("sub", "first_sub")
 
 
-def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` without the words that repeat an earlier passage; a row of which nothing is left goes.  n_chars follows the text.
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns more, and their names: what a row is known by, (doc_id, hash of the text) or (LAST, a number of its own)."""
+    row, *keys = (_text.fresh(docs.columns, c) for c in ("row", "known", "sub"))
+    known, sub = F.coalesce("doc_id", F.lit(LAST)), F.coalesce(row, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return numbered(docs, row).withColumns(dict(zip(keys, (known, sub)))).drop(row), keys
 
-    A row is cut by its own text's spans, whatever other rows its doc_id has; repeated rows are cut alike.  A row without an id
-    is a document of its own, after all that have one.  Texts without a repeated passage stay as they are.
-    """
-    cut, row = (_text.fresh(docs.columns, c) for c in ("cuts", "row"))
-    all_ = numbered(docs, row)
-    text = F.coalesce(all_["text"], F.lit(""))
-    known, sub = F.coalesce(all_["doc_id"], F.lit(LAST)), F.coalesce(all_[row], F.xxhash64(text))
-    cuts = _spans(all_.select(known.alias("doc_id"), sub.alias("sub"), text.alias("text"))).groupBy(F.col("doc_id").alias("cut_id"), F.col("sub").alias("cut_sub")).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
-    joined = all_.join(cuts, (known == cuts["cut_id"]) & (sub == cuts["cut_sub"]), "left").select(*[all_[c] for c in docs.columns], cuts[cut])
+
+def found(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc_id, sub, start, n_words, first_doc_id, first_sub, first_start) of keyed rows, rows without an id after all that have one."""
+    return _spans(rows.select(F.col(keys[0]).alias("doc_id"), F.col(keys[1]).alias("sub"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+def without(docs: DataFrame, keys: list[str], spans: DataFrame) -> DataFrame:
+    """Keyed rows without the words of ``spans`` (found); a row of which nothing is left goes.  n_chars follows the text."""
+    cut = _text.fresh(docs.columns, "cuts")
+    cuts = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("sub").alias("cut_sub")).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
+    own = (docs[keys[0]] == cuts["cut_id"]) & (docs[keys[1]] == cuts["cut_sub"])
+    joined = docs.join(cuts, own, "left").select(*[docs[c] for c in docs.columns], cuts[cut])
     schema = StructType([*docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +306,7 @@ def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
             cuts = b.column(b.schema.get_field_index(cut)).to_pylist()
             rest = b.select(schema.names)
             if not any(cuts):
-                yield rest
+                yield pa.RecordBatch.from_arrays(rest.columns, names=schema.names)  # as below, whether or not a column can be null
                 continue
             s, e, _ = _text.tokens(data, at, _text.BLANKS)
             first = np.searchsorted(s, at)
@@ -328,6 +334,16 @@ def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` without the words that repeat an earlier passage; a row of which nothing is left goes.  n_chars follows the text.
+
+    A row is cut by its own text's spans, whatever other rows its doc_id has; repeated rows are cut alike.  A row without an id
+    is a document of its own, after all that have one.  Texts without a repeated passage stay as they are.
+    """
+    rows, keys = keyed(docs)
+    return without(rows, keys, found(rows, keys)).drop(*keys)
+
+
 SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x00-\x20\x7f]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
  p AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d WHERE len(w) >= 50),
  h AS (SELECT doc_id, pos, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM p),

@@ -99,5 +99,30 @@ def test_rows_without_an_id_and_texts_of_signs_are_judged_by_their_texts(spark,
     assert {r.doc_id for r in suffix.spans(docs).collect()} == set()
 
 
+def test_no_near_copies_are_left_by_cutting(spark, labels, tmp_path):
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    p = [words(f"p{k}x", 60) for k in range(4)]
+    # 10, 11 and 12 are alike only when their passages are cut, as 1, 2 and 3 have these
+    rows = [(k, f"{words(f'own{k}x', 400)} {p[k]}") for k in (1, 2, 3)] + [(9 + k, f"{words('same', 30)} {p[k]}") for k in (1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.stage(spark, docs).count() == 6
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix_array"](spark, docs, "").collect()}
+    assert got == dict(rows[:3]) | {10: words("same", 30)}
+    ran = corpus_pipeline.run(spark, tables(spark, docs, labels.where("false"), tmp_path / "g"))
+    assert sorted((r.doc_id, r.n_words) for r in ran.collect()) == [(1, 460), (2, 460), (3, 460), (10, 30)]
+
+
+def test_a_passage_stays_when_its_first_row_goes(spark):
+    words = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    p, r, stem = words("p", 200), words("r", 50), words("w", 1500)
+    varied = lambda k: " ".join(f"v{k}" if i % 40 == 7 else w for i, w in enumerate(stem.split()))  # no 50 words alike
+    # 3 is near to 2 once p is cut from it, and the first to hold r; 4 has r too; so is 5, cut by r and by p
+    rows = [(1, f"{words('o', 100)} {p}"), (2, varied(2)), (3, f"{' '.join([p] * 30)} {varied(3)} {r}"), (4, f"{words('t', 100)} {r}")]
+    rows += [(None, f"{' '.join([p] * 30)} {varied(5)} {r}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix_array"](spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 4: rows[3][1]}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in entries.queries()) == list(range(1, 11))
