@@ -126,3 +126,30 @@ def floats(c: Column) -> Column:
 def block_species(c: Column) -> Column:
     """The species that a block's header names, else unknown_species."""
     return F.coalesce(F.nullif(F.trim(F.regexp_extract(c, r"(?i)species description for\s+\*?([^\n:*]+)", 1)), F.lit("")), F.lit("unknown_species"))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A double as text of ``digits`` decimals (1 to 14) as C's printf writes it: rounded by its binary value, exact halves to even.
+
+    format_string() rounds the shortest decimal that reads back as the double, halves up: it serves what is clearly beside a half.
+    Else, what a product of doubles rounds off is found by splitting the factor in two (Dekker).  From 2**63 on, where
+    doubles have no decimals, the digits are format_string()'s.
+    """
+    c = c.cast("double")
+    a = F.abs(c)
+    whole = F.floor(a)
+    part, m = a - F.floor(a).cast("double"), 2.0 * 10**digits
+    high = part * 134217729.0 - (part * 134217729.0 - part)
+    p = part * m
+    rest = (high * m - p) + (part - high) * m
+    n = F.floor(p / 2.0)
+    half = 2 * n + 1
+    up = (p > half) | (p == half) & ((rest > 0) | (rest == 0) & (n % 2 == 1))
+    n = n + F.when(up, 1).otherwise(0)
+    over = n == 10**digits
+    sign = F.when((c < 0) | (c == 0) & F.startswith(c.cast("string"), F.lit("-")), "-").otherwise("")
+    text = F.concat(sign, (whole + F.when(over, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad(F.when(over, 0).otherwise(n).cast("string"), digits, "0"))
+    plain = F.format_string(f"%.{digits}f", c)
+    exact = F.when(F.isnan(c), "nan").when(a == float("inf"), F.concat(sign, F.lit("inf"))).when(a < 2.0**63, text).otherwise(plain)
+    near = (a * m >= 2.0**30) | (F.abs(a * m - 2.0 * F.floor(a * m / 2.0) - 1.0) < 1e-6)
+    return F.when(near, exact).when(c.isNotNull(), plain)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lepidus.functions import strings
 from lepidus.operators.lineage import bounded
 
 
@@ -28,7 +29,7 @@ def prompt(records: DataFrame) -> DataFrame:
     """(species_name, prompt): answers, measurements of each category to 4 decimals, localities."""
     qa = F.array_join(F.transform(F.array_sort(F.map_entries("qa")), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])), "\n")
     cat = F.array_join(
-        F.transform("categories", lambda c: F.concat(F.lit("- "), c["category"], F.lit(": Length "), F.format_string("%.4f", c["measurement"]["length_mm"]), F.lit(" mm, Area "), F.format_string("%.4f", c["measurement"]["area_mm2"]), F.lit(" mm2"), F.coalesce(F.concat(F.lit(", colour "), c["colour"]["name"]), F.lit("")))), "\n"
+        F.transform("categories", lambda c: F.concat(F.lit("- "), c["category"], F.lit(": Length "), F.coalesce(strings.fixed(c["measurement"]["length_mm"], 4), F.lit("null")), F.lit(" mm, Area "), F.coalesce(strings.fixed(c["measurement"]["area_mm2"], 4), F.lit("null")), F.lit(" mm2"), F.coalesce(F.concat(F.lit(", colour "), c["colour"]["name"]), F.lit("")))), "\n"
     )
     mat = F.array_join(F.transform(F.array_sort(F.map_entries("materials")), lambda e: F.concat(F.lit("- "), e["key"], F.lit(" ("), e["value"].cast("string"), F.lit(")"))), "\n")
     body = F.concat_ws("\n", F.concat(F.lit("Species: "), "species_name"), F.lit("Answers:"), qa, F.lit("Measurements:"), cat, F.lit("Material:"), mat)

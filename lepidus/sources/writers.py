@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lepidus.functions.strings import fixed
+
 
 def coco_documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, most: int = 10_000) -> DataFrame:
     """(shard, value): COCO objects as JSON text of about ``most`` images each, with their annotations and the categories these use, lists in order of id.
@@ -73,7 +75,7 @@ def write_metrics(df: DataFrame, path: str, partition: list[str] | None = None)
 
 
 def two_decimals(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", c), F.lit("NaN"))
+    return F.coalesce(fixed(c, 2), F.lit("NaN"))
 
 
 def group_statistics(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -113,7 +115,7 @@ def colour_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def manifest(rows: DataFrame) -> DataFrame:
     """Run rows with their output path T_<temperature>/rep_<n>."""
-    return rows.withColumn("output_json", F.format_string("T_%.2f/rep_%d/%s.json", "temperature", "replicate", "image"))
+    return rows.withColumn("output_json", F.format_string("T_%s/rep_%d/%s.json", fixed(F.col("temperature"), 2), "replicate", "image"))
 
 
 def chat_lines(rows: DataFrame, question: str, answer: str, system: str | None = None, image_url: str | None = None) -> DataFrame:

@@ -5,10 +5,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lepidus import plans
+from lepidus.functions import strings
 from lepidus.operators import assemble, coco, models
 from lepidus.sources import headers, readers, writers
 from lepidus.streaming import ingest
@@ -94,6 +97,26 @@ def test_writers(spark, tmp_path):
     assert writers.latex(spark.createDataFrame([("*A b* 5%",)], "value string")).first().value == "\\textit{A b} 5\\%"
 
 
+def test_decimals_are_rounded_by_the_binary_value_halves_to_even(spark):
+    v = [0.125, 0.375, -0.125, 0.045, 0.055, 1.005, 2.675, 0.995, 99.995, -0.001, -0.0, 0.0078125, -0.0234375, 0.9999995, 12345678.0078125, 4503599627370496.5, 5e-324, math.inf, -math.inf]
+    v += [math.nextafter(x, side) for x in v if abs(x) < 2**63 for side in (-9e9, 9e9)] + [k / 128 for k in range(1, 300, 2)]
+    rows = spark.createDataFrame([(x,) for x in v], "v double").select("v", *[strings.fixed(F.col("v"), k).alias(f"f{k}") for k in (2, 4, 6)])
+    assert [(r.f2, r.f4, r.f6) for r in rows.collect()] == [("%.2f" % x, "%.4f" % x, "%.6f" % x) for x in v]
+    assert spark.createDataFrame([(None,), (math.nan,)], "v double").select(strings.fixed(F.col("v"), 2).alias("t")).toPandas().t.tolist() == [None, "nan"]
+
+
+def test_means_are_formatted_as_sql_does(spark, tmp_path):
+    # supplier 1's mean is 0.055 but for the order of the sum, supplier 2 has nothing to average, 3's mean is just under a half, 4's is a half
+    d = [(1, (k % 10 + 1) / 100) for k in range(600)] + [(2, 0.0)] + [(3, 0.045)] + [(4, 0.125), (5, 0.05), (5, 0.0)]
+    pq.write_table(pa.table({"l_suppkey": [a for a, _ in d], "l_discount": [b for _, b in d]}), tmp_path / "lineitem.parquet")
+    plans.load()
+    got = {r.l_suppkey: r["mean"] for r in plans.QUERIES["k04_formatted_statistics"](spark, str(tmp_path)).collect()}
+    assert got == {1: "0.06", 2: "NaN", 3: "0.04", 4: "0.12", 5: "0.05"}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet' WHERE l_suppkey > 1")
+    assert {k: v for k, v in got.items() if k > 1} == dict(con.execute(plans.SQL["k04_formatted_statistics"]).fetchall())
+
+
 def test_models(spark):
     with pytest.raises(ValueError, match="no model"):
         models.apply(spark.range(1), "embed", None)
