@@ -91,7 +91,7 @@ def landmark_rows(points: DataFrame, n: int) -> DataFrame:
 
 def tps(points: DataFrame) -> DataFrame:
     """(shape_id, value): a TPS record, LM=, one line a landmark, ID=."""
-    line = F.format_string("%.6f %.6f", "x", "y")
+    line = F.concat(fixed(F.col("x"), 6), F.lit(" "), fixed(F.col("y"), 6))
     g = points.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("t")))), lambda s: s["t"]).alias("l"))
     return g.select("shape_id", F.concat(F.lit("LM="), F.size("l").cast("string"), F.lit("\n"), F.array_join("l", "\n"), F.lit("\nID="), F.col("shape_id").cast("string")).alias("value"))
 

@@ -205,3 +205,13 @@ def test_back_transformed_keeps_the_sign_of_zero(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = {k: list(map(repr, v)) for k, v in con.execute(plans.SQL["k06_back_transformed"]).fetchall()}
     assert got == want and want[1][7] == "-0.0" and want[2][15] == "0.0"
+
+
+def test_landmark_records_have_the_decimals_of_sql(spark, tmp_path):
+    # halves of the sixth decimal: 0.0078125 and its odd multiples
+    e = np.array([[(2 * k + 1) / 128 * (-1) ** k for k in range(64)]], np.float32)
+    pq.write_table(pa.table({"vec_id": [7], "embedding": list(e)}), tmp_path / "embeddings.parquet")
+    plans.load()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
+    assert [tuple(r) for r in plans.QUERIES["k05_tps_records"](spark, str(tmp_path)).collect()] == con.execute(plans.SQL["k05_tps_records"]).fetchall()
