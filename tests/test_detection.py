@@ -46,3 +46,45 @@ def test_average_precision(spark):
         assert got[1, k] == pytest.approx(plain(pred, truth, k))
     assert got[1, 0.5] > got[1, 0.9]
     assert detection.average_precision(p.where("false"), t.where("false")).count() == 0
+
+
+def test_predictions_take_the_boxes_that_they_overlap_most(monkeypatch):
+    """All groups at once, in slices of few pairs, as one prediction after the other does it; among them a box that only a low threshold takes away."""
+    monkeypatch.setattr(detection, "PAIRS", 7)
+    rng = np.random.default_rng(3)
+    n_p, n_t = rng.integers(0, 9, 200), rng.integers(0, 9, 200)
+    boxes = lambda n: np.column_stack([rng.integers(0, 12, (n, 2)), np.full((n, 2), 10)]).astype(float)
+    p, t = boxes(n_p.sum()), boxes(n_t.sum())
+    got, want = detection.taken(p, n_p, t, n_t, detection.THRESHOLDS), np.zeros((len(p), 10), bool)
+    for g in range(200):
+        a, b = n_p[:g].sum(), n_t[:g].sum()
+        for c, threshold in enumerate(detection.THRESHOLDS):
+            free = list(range(b, b + n_t[g]))
+            for k in range(a, a + n_p[g]):
+                iou = [float(detection.overlaps(p[k : k + 1], t[j : j + 1])[0]) for j in free]
+                if iou and max(iou) >= threshold:
+                    free.pop(iou.index(max(iou)))
+                    want[k, c] = True
+    assert (got == want).all() and (want[:, 1:] & ~want[:, :-1]).any()
+
+
+def test_a_category_is_counted_up_in_ranges(spark):
+    """Many ranges of one category give what one does; a prediction of no score is a last step."""
+    rng = np.random.default_rng(4)
+    rows = [(k, 1, [float(rng.integers(0, 4)), 0.0, 10.0, 10.0], float(rng.integers(0, 300)) if k else None) for k in range(1000)]
+    p = spark.createDataFrame(rows, "image_id int, category_id int, bbox array<double>, score double")
+    t = spark.createDataFrame([(k, 1, [0.0, 0.0, 10.0, 10.0]) for k in range(0, 1500)], "image_id int, category_id int, bbox array<double>")
+    got = {}
+    for n in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got[n] = {r.threshold: r.ap for r in detection.average_precision(p, t).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got["1"] == pytest.approx(got["16"])
+    by = {}
+    for image, _, box, score in rows:
+        by.setdefault(-1.0 if score is None else score, []).append((10 - box[0]) / (10 + box[0]) >= 0.7)
+    tp = np.cumsum([sum(by[s]) for s in sorted(by, reverse=True)])
+    precision = tp / np.cumsum([len(by[s]) for s in sorted(by, reverse=True)])
+    assert got["16"][0.7] == pytest.approx(np.mean([max(precision[tp / 1500 >= k / 100 - 1e-12], default=0.0) for k in range(101)]))
