@@ -69,7 +69,7 @@ def _(t: Tables) -> DataFrame:
 
 def _picture(t: Tables) -> DataFrame:
     h, s, v = fc.hsv(F.col("c0"), F.col("c1"), F.col("c2"))
-    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), h.alias("h"), s.alias("s"), v.cast("double").alias("v"))
+    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), h.alias("h"), s.alias("s"), v.cast("double").alias("v")).repartition("image")
     return coco.first_of(p, ["image", "y", "x"], ["h", "s", "v"])
 
 
@@ -80,13 +80,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("g25_lightened")
 def _(t: Tables) -> DataFrame:
-    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), "c0", "c1", "c2")
+    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), "c0", "c1", "c2").repartition("image")
     return raster.lightened(coco.first_of(p, ["image", "y", "x"], ["c0", "c1", "c2"]), tiles=2)
 
 
 @query("g25_segments")
 def _(t: Tables) -> DataFrame:
-    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), "c0", "c1", "c2")
+    p = pixels(t).select(F.col("sample").alias("image"), (F.col("c0") % 24).cast("int").alias("y"), (F.col("c1") % 24).cast("int").alias("x"), "c0", "c1", "c2").repartition("image")
     return raster.segments(coco.first_of(p, ["image", "y", "x"], ["c0", "c1", "c2"]), least=5)
 
 
