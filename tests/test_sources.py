@@ -215,3 +215,16 @@ def test_landmark_records_have_the_decimals_of_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
     assert [tuple(r) for r in plans.QUERIES["k05_tps_records"](spark, str(tmp_path)).collect()] == con.execute(plans.SQL["k05_tps_records"]).fetchall()
+
+
+def test_coco_files_are_compressed_one_document_each_and_read_back(spark, tmp_path):
+    images = spark.createDataFrame([(str(k), f"{k}.jpg") for k in range(40)], "id string, file_name string")
+    annotations = spark.createDataFrame([(k, str(k % 40), k % 3, [1.0, 2.0, float(k), 4.0]) for k in range(200)], "id long, image_id string, category_id long, bbox array<double>")
+    categories = spark.createDataFrame([(k, f"c{k}", "s") for k in range(3)], "id long, name string, supercategory string")
+    at = str(tmp_path / "coco")
+    writers.write_coco(images, annotations, categories, at, 10)
+    i, a, _ = readers.coco(spark, f"{at}/compact")
+    assert sorted(r.id for r in i.collect()) == sorted(map(str, range(40))) and sorted((r.id, r.bbox[2]) for r in a.collect()) == [(k, float(k)) for k in range(200)]
+    files = list((tmp_path / "coco/compact").glob("part-*"))
+    assert len(files) == i.select("source_file").distinct().count() == 4 and all(f.suffix == ".gz" for f in [*files, *(tmp_path / "coco/annotations").glob("part-*")])
+    assert spark.read.schema(readers.ANNOTATION).json(f"{at}/annotations").count() == 200
