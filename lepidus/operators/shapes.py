@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -152,17 +154,15 @@ def reindexed(points: DataFrame, reference: DataFrame, n: int) -> DataFrame:
 def mean_shape(points: DataFrame, most: int = 100, tolerance: float = 1e-5) -> pd.DataFrame:
     """Generalised Procrustes mean (i, x, y): align all to the mean, average, until it moves less than ``tolerance``.
 
-    The mean is one row a landmark, so it is what travels; each round is one grouped pass over the shapes.
+    The mean is one row a landmark, so it is what travels.  Shapes are centred and packed once, as arrays in order of their
+    landmarks; each round is one pass over them, whose batches give a sum for each landmark.
     """
-    spark, c = points.sparkSession, centred(points).persist()
+    packed = centred(points).where("x is not null and y is not null").groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        mean = c.where(F.col("shape_id") == c.agg(F.min("shape_id")).first()[0]).select("i", "x", "y").toPandas().sort_values("i", ignore_index=True)
+        first = packed.agg(F.min_by("p", "shape_id").alias("p")).select(F.explode("p").alias("p"))
+        mean = first.select("p.*").toPandas().sort_values("i", ignore_index=True)
         for _ in range(most):
-            ref = spark.createDataFrame(mean.rename(columns={"x": "rx", "y": "ry"}))
-            a = procrustes(c, ref).select("shape_id", "angle")
-            t = c.join(a, "shape_id")
-            co, si = F.cos("angle"), F.sin("angle")
-            new = t.groupBy("i").agg(F.avg(F.col("x") * co - F.col("y") * si).alias("x"), F.avg(F.col("x") * si + F.col("y") * co).alias("y")).toPandas().sort_values("i", ignore_index=True)
+            new = _turned_sums(packed, mean).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"), (F.sum("y") / F.sum("n")).alias("y")).toPandas().sort_values("i", ignore_index=True)
             norm = float(np.sqrt((new[["x", "y"]] ** 2).to_numpy().sum()))
             new[["x", "y"]] /= norm or 1.0
             moved = float(np.sqrt(((new - mean)[["x", "y"]] ** 2).to_numpy().sum()))
@@ -171,7 +171,29 @@ def mean_shape(points: DataFrame, most: int = 100, tolerance: float = 1e-5) -> p
                 break
         return mean
     finally:
-        c.unpersist()
+        packed.unpersist()
+
+
+def _turned_sums(packed: DataFrame, mean: pd.DataFrame) -> DataFrame:
+    """(i, x, y, n): sums of the landmarks of all shapes (p), each shape turned to ``mean``, for each batch."""
+    at, to = mean.i.to_numpy(), mean.x.to_numpy() + 1j * mean.y.to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, each = np.diff(b.column(0).offsets.to_numpy()), b.column(0).flatten()
+            i, x, y = (each.field(c).to_numpy(zero_copy_only=False) for c in ("i", "x", "y"))
+            if not len(i):
+                continue
+            z, shape = x + 1j * y, np.repeat(np.arange(len(n)), n)
+            k = np.minimum(np.searchsorted(at, i), len(at) - 1)
+            turn = np.where(at[k] == i, z.conj() * to[k], 0)
+            whole = np.bincount(shape, turn.real, len(n)) + 1j * np.bincount(shape, turn.imag, len(n))
+            z = z * np.exp(1j * np.angle(whole))[shape]
+            names, inverse, count = np.unique(i, return_inverse=True, return_counts=True)
+            sums = [np.bincount(inverse, v, len(names)) for v in (z.real, z.imag)]
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *map(pa.array, sums), pa.array(count)], names=["i", "x", "y", "n"])
+
+    return packed.select("p").mapInArrow(run, "i int, x double, y double, n long")
 
 
 def each_shape(points: DataFrame, names: list[str], run: Callable[..., tuple], schema: str, key: str = "shape_id") -> DataFrame:

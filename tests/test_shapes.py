@@ -3,7 +3,9 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lepidus.operators import shapes
 
@@ -100,3 +102,15 @@ def test_reflections(spark):
     assert got == {0: (0, 0, pytest.approx(0, abs=1e-8)), 1: (1, 4, pytest.approx(0, abs=1e-8))}
     moved = table(spark, ring, ring[2:] + ring[:2])
     assert {r.shape_id: (r.shift, r.distance) for r in shapes.reindexed(moved, moved.where("shape_id = 0").selectExpr("i", "x AS rx", "y AS ry"), 6).collect()} == {0: (0, 0.0), 1: (4, 0.0)}
+
+
+def test_sums_of_turned_landmarks(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(50, 6)) + 1j * rng.normal(size=(50, 6))
+    mean = pd.DataFrame({"i": range(6), "x": z[0].real, "y": z[0].imag})
+    rows = [(k, i, float(v.real), float(v.imag)) for k, s in enumerate(z) for i, v in enumerate(s)]
+    packed = spark.createDataFrame(rows, "s long, i int, x double, y double").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    got = shapes._turned_sums(packed, mean).groupBy("i").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("n").alias("n")).orderBy("i").collect()
+    turn = (z.conj() * z[0]).sum(axis=1)
+    want = (z * (turn / abs(turn))[:, None]).sum(axis=0)
+    assert np.allclose([r.x + 1j * r.y for r in got], want) and [r.n for r in got] == [50] * 6
